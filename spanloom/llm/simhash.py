@@ -272,7 +272,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     found = stored(near_duplicates(docs, id_col, text_col).where("doc_id = component_id").select("doc_id"), "kept")
     again = found.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    out = docs.join(found.select(F.col("doc_id").alias("__one")).distinct() if again else found.select(F.col("doc_id").alias("__one")), F.col(id_col).cast("long") == F.col("__one"), "left_semi")
+    ids = found.select(F.col("doc_id").alias("__one"))
+    # a merge join at every size: what stays is most of the corpus, so sending it out would not scale
+    out = docs.join((ids.distinct() if again else ids).hint("merge"), F.col(id_col).cast("long") == F.col("__one"), "left_semi")
     if again:
         out = out.withColumn("__h", F.xxhash64(F.col(text_col))).orderBy("__h").dropDuplicates([id_col]).drop("__h")
     return out.unionByName(docs.where(F.col(id_col).isNull()))

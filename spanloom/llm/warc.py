@@ -181,7 +181,7 @@ def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     named = rows.mapInArrow(sha, "page_id long, url string, html string, payload_digest string")
     groups = named.where(F.octet_length("html") >= min_revisit).select("payload_digest", "page_id").groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
     shared = stored(groups.where("n > 1").select("payload_digest", "first"), "payloads")
-    linked = named.join(shared, "payload_digest", "left")
+    linked = named.join(shared.hint("merge"), "payload_digest", "left")  # a hot payload is split by adaptive execution
     again = F.col("first").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") > F.col("first"))) & (F.octet_length("html") >= min_revisit)
     linked = linked.withColumn("record_type", F.when(again, "revisit").otherwise("response")).withColumn("refers_to", F.when(again, F.col("first")))
     path = path or shared_path(spark, "warc")
