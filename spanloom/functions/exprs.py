@@ -112,13 +112,16 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(all_ == 0, 1.0).otherwise(both / all_)
 
 
+def _depth(t: Column, opens: str, closes: str) -> Column:
+    """(d, ok): how many brackets are open after t, and whether none closed before it opened."""
+    turn = lambda x: F.when(x == opens, 1).when(x == closes, -1).otherwise(0)
+    step = lambda s, x: F.struct((s["d"] + turn(x)).alias("d"), (s["ok"] & (s["d"] + turn(x) >= 0)).alias("ok"))
+    return F.aggregate(F.split(t, ""), F.struct(F.lit(0).alias("d"), F.lit(True).alias("ok")), step)
+
+
 def balanced(t: Column) -> Column:
     """Brackets of three kinds never close before they open and all close."""
-    out = F.lit(True)
-    for o, c in ("()", "[]", "{}"):
-        step = F.aggregate(F.split(t, ""), F.struct(F.lit(0).alias("d"), F.lit(True).alias("ok")), lambda s, x, o=o, c=c: F.struct((s["d"] + F.when(x == o, 1).when(x == c, -1).otherwise(0)).alias("d"), (s["ok"] & (s["d"] + F.when(x == o, 1).when(x == c, -1).otherwise(0) >= 0)).alias("ok")))
-        out = out & (step["d"] == 0) & step["ok"]
-    return out
+    return reduce(lambda a, b: a & b, [(_depth(t, *pair)["d"] == 0) & _depth(t, *pair)["ok"] for pair in ("()", "[]", "{}")])
 
 
 def seconds_of(interval: Column) -> Column:

@@ -69,7 +69,8 @@ def signal_boost(items: DataFrame, signals: DataFrame) -> DataFrame:
     """items (id, file, start, end, level, relevance, proximity) raised by the signals near them, in single precision."""
     f = lambda x: F.lit(x).cast("float")
     d = X.distance_to_span(F.col("line"), F.col("start"), F.col("end"))
-    one = F.least(X.severity_weight(F.col("severity")).cast("float") / (d + 1).cast("float"), f(2.0))
+    near = (X.severity_weight(F.col("severity")) / (d + 1)).cast("float")  # a quotient is a double until then
+    one = F.least(near, f(2.0))
     total = items.join(signals.select("file", "line", "severity"), "file").groupBy("id").agg(F.sum(one.cast("double")).cast("float").alias("boost"))
     out = items.join(total, "id", "left").withColumn("boost", F.coalesce("boost", f(0.0)))
     mult, add = F.least(f(1.0) + f(0.15) * F.col("boost"), f(1.5)), F.least(f(0.05) * F.col("boost"), f(0.5))

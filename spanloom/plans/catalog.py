@@ -217,7 +217,7 @@ def asof_owner(spark, d):
 
 _BOOST = """WITH i AS (SELECT event_id AS id, user_id AS file, hour(ts) AS s, hour(ts) + 1 AS e FROM events), x AS (SELECT user_id AS file, hour(ts) AS line, CASE WHEN value > 90 THEN 3.0::FLOAT WHEN value > 50 THEN 1.5::FLOAT ELSE 1.0::FLOAT END AS w FROM events),
 b AS (SELECT id, CAST(sum(CAST(least(w / CAST(1 + greatest(s - line, line - e, 0) AS FLOAT), 2.0::FLOAT) AS DOUBLE)) AS FLOAT) AS boost FROM i JOIN x USING (file) GROUP BY id)
-SELECT id, round(CAST(boost AS DOUBLE), 3) AS boost FROM b"""
+SELECT id, CAST(boost AS DOUBLE) AS boost FROM b"""
 
 
 @_query(_BOOST)
@@ -225,7 +225,7 @@ def signal_boost(spark, d):
     e = _t(spark, d, "events")
     f = lambda x: F.lit(x).cast("float")
     items = e.select(F.col("event_id").cast("string").alias("id"), F.col("user_id").alias("file"), F.hour("ts").alias("start"), (F.hour("ts") + 1).alias("end"), F.lit(100).alias("level"), f(0.7).alias("relevance"), f(0.5).alias("proximity"))
-    return retrieve.signal_boost(items, _signals(spark, d)).select(F.col("id").cast("long").alias("id"), F.round(F.col("boost").cast("double"), 3).alias("boost"))
+    return retrieve.signal_boost(items, _signals(spark, d)).select(F.col("id").cast("long").alias("id"), F.col("boost").cast("double").alias("boost"))
 
 
 @_query("""WITH e AS (SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem UNION SELECT DISTINCT 's' || l_suppkey, 'p' || l_partkey FROM lineitem),
