@@ -15,7 +15,7 @@ from ..functions import exprs as X
 from ..operators import fit, govern, retrieve
 
 _Q: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
-TERMS = ["part", "part 1", "77", "part#11", "1 9"]
+TERMS = ["ring", "red widget", "small", "bolt blue", "gear"]
 
 
 def _query(sql: str | None):
