@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from . import lineage
 
 #: Words of code that carry no novelty.
 STOPWORDS = ["fn", "function", "struct", "impl", "implementation", "module", "class", "pub", "public", "trait", "interface", "method", "test", "assert", "std", "fmt", "debug", "display", "derive", "clone", "copy", "eq"]
@@ -20,14 +21,17 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     return norm.groupBy("h").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")).select("first_id", "copies")
 
 
-def jaccard_pairs(docs: DataFrame, threshold: float = 0.7, n: int = 4) -> DataFrame:
+def jaccard_pairs(docs: DataFrame, threshold: float = 0.7, n: int = 4, apart: str | None = None) -> DataFrame:
     """(a, b, jaccard) for pairs of distinct texts, a and b the least ids of theirs, from shared shingles.
 
+    apart: a boolean column; rows where it holds stand for themselves alone.
+
     Prefix filter: a pair over the threshold shares one of the first (1 - threshold) |set| + 1 shingles in the order of
     corpus frequency, rarest first, so common shingles never join.
     """
-    sets = docs.select("doc_id", X.shingles(X.words(F.col("text")), n).alias("s")).where(F.size("s") > 0)
-    sets = sets.groupBy(F.sha2(F.array_join(F.array_sort("s"), "\n"), 256).alias("h")).agg(F.min(F.struct("doc_id", "s")).alias("m")).select(F.col("m.doc_id").alias("doc_id"), F.transform("m.s", lambda x: F.xxhash64(x)).alias("s"))
+    own = F.when(F.col(apart), F.col("doc_id")) if apart else F.lit(None).cast("int")
+    sets = docs.select("doc_id", own.alias("own"), X.shingles(X.words(F.col("text")), n).alias("s")).where(F.size("s") > 0)
+    sets = sets.groupBy(F.sha2(F.array_join(F.array_sort("s"), "\n"), 256).alias("h"), "own").agg(F.min(F.struct("doc_id", "s")).alias("m")).select(F.col("m.doc_id").alias("doc_id"), F.transform("m.s", lambda x: F.xxhash64(x)).alias("s"))
     each = sets.select("doc_id", F.size("s").alias("n"), F.explode("s").alias("g"))
     freq = each.groupBy("g").agg(F.count("*").alias("df"))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "g"))
@@ -58,15 +62,17 @@ def novelty(docs: DataFrame, top: int = 16) -> DataFrame:
     return docs.select("doc_id").join(mean, "doc_id", "left").select("doc_id", F.coalesce("novelty", F.lit(0.0)).alias("novelty"))
 
 
-def budget_fit(items: DataFrame, budget: int, key: str = "bucket") -> DataFrame:
+def budget_fit(items: DataFrame, budget: int | dict[str, int], key: str = "bucket") -> DataFrame:
     """(key, id, tokens, pos): in each bucket items by priority, each taken if it still fits, else passed over.
 
+    budget: one for every bucket, or each bucket's own.
+
     The fold is sequential by definition; what can never fit is dropped before, and a bucket is one request's items.
     """
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["level", "relevance", "id"], ascending=[False, False, True], kind="stable")
-        left, keep = budget, []
+        left, keep = budget[rows[key].iloc[0]] if isinstance(budget, dict) else budget, []
         for t in rows.tokens:
             ok = t <= left
             left -= t if ok else 0
@@ -74,7 +80,8 @@ def budget_fit(items: DataFrame, budget: int, key: str = "bucket") -> DataFrame:
         out = rows[keep]
         return pd.DataFrame({key: out[key], "id": out.id, "tokens": out.tokens, "pos": range(1, len(out) + 1)})
 
-    slim = items.where(F.col("tokens") <= budget).select(key, "id", "tokens", "level", "relevance")
+    room = F.element_at(F.create_map(*[F.lit(x) for kv in budget.items() for x in kv]), F.col(key)) if isinstance(budget, dict) else F.lit(budget)
+    slim = items.where(F.col("tokens") <= room).select(key, "id", "tokens", "level", "relevance")
     kind = dict(slim.dtypes)
     return slim.groupBy(key).applyInPandas(fold, f"{key} {kind[key]}, id {kind['id']}, tokens long, pos long")
 
@@ -85,6 +92,72 @@ def refusals(items: DataFrame, fitted: DataFrame, cap: int, key: str = "bucket")
     return left.select(key, "id", F.when(F.col("tokens") > cap, "bucket-cap-exceeded").otherwise("budget-overflow").alias("reason"))
 
 
+#: The buckets, and the tags that lead to them before code does.
+BUCKETS, BUCKET_TAGS = ("code", "interfaces", "tests"), (("test", "tests"), ("interface", "interfaces"))
+
+
+def parse_caps(spec: str) -> dict[str, int]:
+    """Caps of code=N,interfaces=N,tests=N; a bucket not named has none to spend."""
+    caps = dict.fromkeys(BUCKETS, 0)
+    for part in filter(None, (p.strip() for p in spec.split(","))):
+        name, eq, value = (x.strip() for x in part.partition("="))
+        if not eq or name not in caps or not value.isascii() or not value.isdigit():
+            raise ValueError(f"not a bucket's cap: {part}")
+        caps[name] = int(value)
+    return caps
+
+
+def bucketed_fit(items: DataFrame, caps: dict[str, int], novelty_least: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """(fitted, refused) of items (id, content, tokens, level, relevance, tags): each bucket filled up to its cap.
+
+    An item's bucket is tests, else interfaces, else code by its tags. With novelty_least, less novel items are refused first,
+    by document frequencies of all items. refused: (id, bucket, reason). No bucket passes its cap, so the whole is within the sum.
+    """
+    bucket = F.lit("code")
+    for tag, name in reversed(BUCKET_TAGS):
+        bucket = F.when(F.array_contains("tags", tag), name).otherwise(bucket)
+    placed = items.withColumn("bucket", F.when(F.col("tags").isNull(), "code").otherwise(bucket))
+    dull = None
+    if novelty_least is not None:
+        scores = novelty(placed.select(F.col("id").alias("doc_id"), F.col("content").alias("text"))).withColumnRenamed("doc_id", "id")
+        placed = placed.join(scores, "id")
+        low = F.col("novelty") < novelty_least
+        dull = placed.where(low).select("id", "bucket", F.format_string("novelty-floor<%.2f", F.lit(float(novelty_least))).alias("reason"))
+        placed = placed.where(~low)
+    fitted = budget_fit(placed, caps)
+    refused = placed.join(fitted.select("id", "bucket"), ["id", "bucket"], "left_anti").select("id", "bucket", F.lit("bucket-cap-exceeded").alias("reason"))
+    return fitted, refused if dull is None else dull.unionByName(refused)
+
+
+def representatives(items: DataFrame, threshold: float = 0.7, preserve: str | None = None) -> DataFrame:
+    """items (id, content, level, relevance, proximity) without copies and near-copies: in order of priority an item stays unless one that stays is like it.
+
+    Likeness is the Jaccard of runs of four words; texts of fewer words only fall to equal ones. preserve: a boolean column of
+    items that always stay. Each round decides all items whose better neighbours are decided, so the result is that of the
+    sequential order; rounds are as many as the longest chain of neighbours, and each one's lineage is cut.
+    """
+    order = F.struct(-F.col("level"), -F.col("relevance"), -F.col("proximity"), F.col("id"))
+    safe = F.coalesce(F.col(preserve), F.lit(False)) if preserve else F.lit(False)
+    ranked = items.select(order.alias("doc_id"), F.col("content").alias("text"), safe.alias("safe"), F.sha2(X.squeezed(F.col("content")), 256).alias("h"))
+    first = ranked.groupBy("h").agg(F.min("doc_id").alias("doc_id"))
+    ranked = ranked.join(first, ["h", "doc_id"], "left_semi")
+    grams = X.shingles(X.words(F.col("text")), 4)
+    sets = ranked.select("doc_id", "safe", F.size(grams).alias("n"), F.when(F.col("safe") | (F.size(grams) == 0), F.col("doc_id")).alias("own"), F.sha2(F.array_join(F.array_sort(grams), "\n"), 256).alias("set"))
+    nodes = lineage.cut(sets.groupBy("set", "own").agg(F.min("doc_id").alias("doc_id"), F.bool_or("safe").alias("safe")).select("doc_id", "safe"))
+    edges = lineage.cut(jaccard_pairs(ranked, threshold, apart="safe").select("a", "b").join(nodes.where("safe").select(F.col("doc_id").alias("b")), "b", "left_anti"))
+    stay, left = nodes.where("safe").select("doc_id"), nodes.where("not safe").select("doc_id")
+    new = stay
+    while True:
+        hit = edges.join(new.select(F.col("doc_id").alias("a")), "a", "left_semi").select(F.col("b").alias("doc_id"))
+        left = lineage.cut(left.join(hit, "doc_id", "left_anti"))
+        if left.isEmpty():
+            break
+        waits = edges.join(left.select(F.col("doc_id").alias("a")), "a", "left_semi").select(F.col("b").alias("doc_id"))
+        new = lineage.cut(left.join(waits, "doc_id", "left_anti"))
+        stay, left = stay.unionByName(new), left.join(new, "doc_id", "left_anti")
+    return items.join(stay.select(F.col("doc_id")["id"].alias("id")), "id", "left_semi")
+
+
 def token_chunks(docs: DataFrame, most: int = 128, overlap: int = 32) -> DataFrame:
     """(doc_id, chunk, start, end): windows of most tokens, each beginning overlap before the last one's end."""
     n, step = F.col("n"), most - overlap

@@ -100,3 +100,34 @@ def path_rollup(files: DataFrame) -> DataFrame:
     parts = F.split("path", "/")
     up = files.select("lines", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(i.alias("depth"), F.array_join(F.slice(parts, 1, i), "/").alias("prefix")))).alias("p"))
     return up.groupBy(F.col("p.prefix").alias("prefix"), F.col("p.depth").cast("long").alias("depth")).agg(F.count("*").alias("files"), F.sum("lines").alias("lines"))
+
+
+def anchor_hints(points: DataFrame, spans: DataFrame, files: DataFrame, k: int = 3) -> DataFrame:
+    """(point_id, status, name, start, end, nearest) of points (point_id, file, line): good with the innermost span around it,
+    outside_scope with the k nearest spans of its file, or not_a_file.
+    """
+    inside = enclosing_span(points, spans, "file")
+    near = nearest_spans(points, spans, "file", k).groupBy("point_id").agg(F.array_sort(F.collect_list(F.struct("rank", "name", "start", F.col("end"), "distance"))).alias("nearest"))
+    there = points.select("point_id", "file").join(files.select("file").distinct().withColumn("there", F.lit(True)), "file", "left").select("point_id", "there")
+    status = F.when(F.col("there").isNull(), "not_a_file").when(F.col("name").isNotNull(), "good").otherwise("outside_scope")
+    out = inside.join(there, "point_id").join(near, "point_id", "left").withColumn("status", status)
+    return out.select("point_id", "status", "name", "start", "end", F.when(F.col("status") == "outside_scope", F.col("nearest")).alias("nearest"))
+
+
+def tree_lines(files: DataFrame) -> DataFrame:
+    """(parts, text) of files (path, lines), a row for each file and directory; ordered by parts the texts are the drawn tree."""
+    parts = F.split("path", "/")
+    each = files.select("lines", parts.alias("all"), F.explode(F.sequence(F.lit(1), F.size(parts))).alias("depth"))
+    nodes = each.groupBy(F.slice("all", F.lit(1), F.col("depth")).alias("parts")).agg(F.max(F.size("all") > F.col("depth")).alias("is_dir"), F.max(F.when(F.size("all") == F.col("depth"), F.col("lines"))).alias("lines"))
+    above = lambda c: F.slice(c, F.lit(1), F.size(c) - 1)
+    nodes = nodes.withColumn("parent", above(F.col("parts")))
+    last = nodes.groupBy("parent").agg(F.max(F.element_at("parts", -1)).alias("last"))
+    nodes = nodes.join(last, "parent").withColumn("is_last", F.element_at("parts", -1) == F.col("last")).drop("last")
+    name = F.element_at("parts", -1)
+    label = F.when(F.col("is_dir"), F.concat(name, F.lit("/"))).when(F.col("lines").isNull(), name).otherwise(F.concat_ws(":", name, F.col("lines").cast("string")))
+    up = nodes.select("parts", "is_dir", "lines", "is_last", F.explode(F.sequence(F.lit(1), F.size("parts"))).alias("d"))
+    up = up.withColumn("key", F.slice("parts", F.lit(1), F.col("d"))).join(nodes.select(F.col("parts").alias("key"), F.col("is_last").alias("ends")), "key")
+    own = F.col("d") == F.size("parts")
+    bar = F.when(own, F.when(F.col("ends"), "└─ ").otherwise("├─ ")).otherwise(F.when(F.col("ends"), "   ").otherwise("│  "))
+    drawn = up.groupBy("parts", "is_dir", "lines").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("d", bar.alias("bar")))), lambda x: x["bar"]), "").alias("bars"))
+    return drawn.select("parts", F.concat("bars", label).alias("text"))

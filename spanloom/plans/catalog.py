@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..operators import fit, govern, retrieve
+from ..operators import edits, fit, govern, logs, retrieve, symbols
 
 _Q: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 TERMS = ["ring", "red widget", "small", "bolt blue", "gear"]
@@ -315,6 +315,64 @@ def call_scan(spark, d):
     return retrieve.calls(_t(spark, d, "pages").select(F.col("page_id").alias("file"), F.lit(1).alias("line"), F.col("html").alias("text"))).select(F.col("file").alias("page_id"), "name")
 
 
+_LOG = "SELECT user_id AS log, event_id AS line_no, CASE WHEN event_type = 'purchase' THEN 'error[E1]: lost ' || props WHEN event_type = 'click' THEN '' ELSE '  --> src/' || event_type || '.rs:' || hour(ts) || ':5' END AS line FROM events"
+
+
+@_query(f"""WITH x AS ({_LOG}), s AS (SELECT *, last_value(CASE WHEN starts_with(line, 'error') OR line = '' THEN line END IGNORE NULLS) OVER (PARTITION BY log ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS head FROM x)
+SELECT log, line_no AS seq, split_part(substr(line, 7), ':', 1) AS file, CAST(split_part(line, ':', 2) AS BIGINT) AS line, coalesce(head, '') AS message, CASE WHEN coalesce(head, '') = '' THEN 'info' ELSE 'error' END AS severity FROM s WHERE line LIKE '  -->%'""")
+def log_sites(spark, d):
+    line = F.when(F.col("event_type") == "purchase", F.concat(F.lit("error[E1]: lost "), "props")).when(F.col("event_type") == "click", "").otherwise(F.format_string("  --> src/%s.rs:%d:5", "event_type", F.hour("ts")))
+    lines = _t(spark, d, "events").select(F.col("user_id").alias("log"), F.col("event_id").alias("line_no"), line.alias("line"))
+    return logs.signals(lines, "rustc").drop("symbols")
+
+
+@_query(r"""WITH l AS (SELECT doc_id, text, CASE WHEN text = '' THEN [] ELSE string_split(regexp_replace(text, '\n$', ''), chr(10)) END AS l FROM documents)
+SELECT doc_id, CASE WHEN len(l) >= 2 THEN array_to_string(list_concat(['top', l[1]], l[3:]), chr(10)) || CASE WHEN ends_with(text, chr(10)) THEN chr(10) ELSE '' END END AS content, CASE WHEN len(l) >= 2 THEN 0 ELSE 1 END AS n_problems FROM l""")
+def edits_applied(spark, d):
+    files = _t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("file"), F.col("text").alias("content"))
+    spec = F.format_string("FILE: %s\nDELETE lines 2\nINSERT at 0:\nNEW:\n```\ntop\n```\n", "file")
+    ops = edits.parse_specs(files.select(F.col("file").alias("spec"), spec.alias("text")))
+    out = edits.apply_edits(files, ops.where("error is null"))
+    return out.select(F.col("file").cast("long").alias("doc_id"), "content", F.size("problems").alias("n_problems"))
+
+
+@_query("""SELECT 'src/p' || p_partkey || '.rs' AS file, 'function' AS kind, 'f_' || p_partkey AS name, CAST(strlen(p_type) + 5 AS BIGINT) AS byte_start, CAST(strlen(p_type) + 5 + strlen('pub fn f_' || p_partkey || '() { /* ' || p_name || ' */ }') AS BIGINT) AS byte_end, 2 AS start_line, 2 AS end_line, 'public' AS visibility, p_type AS doc FROM part
+UNION ALL SELECT 'src/p' || p_partkey || '.py', 'function', 'g_' || p_partkey, 0, strlen('def g_' || p_partkey || '(): pass'), 1, 1, 'public', NULL FROM part""")
+def symbols_of_sources(spark, d):
+    part = _t(spark, d, "part")
+    rust = part.select(F.format_string("src/p%d.rs", "p_partkey").alias("path"), F.format_string("/// %s\npub fn f_%d() { /* %s */ }\n", "p_type", "p_partkey", "p_name").alias("content"))
+    python = part.select(F.format_string("src/p%d.py", "p_partkey").alias("path"), F.format_string("def g_%d(): pass\n", "p_partkey").alias("content"))
+    return symbols.extract(rust.unionByName(python)).drop("lang", "qualified_name")
+
+
+@_query(f"""WITH x AS ({_SPANS}), p AS (SELECT p_partkey AS k, p_size AS line FROM part), b AS (SELECT k, max(struct_pack(s := s, e := e, id := id)) AS b FROM p JOIN x USING (k) WHERE s <= line AND line <= e GROUP BY k), n AS (SELECT k, count(*) AS n FROM x GROUP BY k)
+SELECT p.k AS point_id, CASE WHEN p.k % 10 = 0 THEN 'not_a_file' WHEN b.b IS NOT NULL THEN 'good' ELSE 'outside_scope' END AS status, CASE WHEN p.k % 10 <> 0 THEN b.b.id END AS name, CASE WHEN b.b IS NULL AND p.k % 10 <> 0 THEN CAST(least(coalesce(n, 0), 3) AS INT) END AS n_nearest FROM p LEFT JOIN b USING (k) LEFT JOIN n USING (k)""")
+def anchor_hints(spark, d):
+    points = _points(spark, d).withColumnRenamed("key", "file")
+    spans = _spans(spark, d).where("key % 10 <> 0").withColumnsRenamed({"id": "name", "key": "file"})
+    files = points.where("file % 10 <> 0").select("file")
+    out = retrieve.anchor_hints(points, spans, files)
+    return out.select("point_id", "status", "name", F.when(F.col("status") == "outside_scope", F.coalesce(F.size("nearest"), F.lit(0))).alias("n_nearest"))
+
+
+@_query("""WITH u AS (SELECT split_part(split_part(split_part(url, '://', 2), '?', 1), '#', 1) AS path, CAST(""" + _LINES.format(t="html") + """ AS BIGINT) AS lines FROM pages),
+x AS (SELECT lines, string_split(path, '/') AS p FROM u), y AS (SELECT lines, p, unnest(range(1, len(p) + 1)) AS depth FROM x),
+n AS (SELECT p[1:depth] AS parts, bool_or(depth < len(p)) AS dir, max(CASE WHEN depth = len(p) THEN lines END) AS lines FROM y GROUP BY 1),
+l AS (SELECT *, parts[-1] = max(parts[-1]) OVER (PARTITION BY parts[1:len(parts) - 1]) AS ends FROM n), k AS (SELECT *, unnest(range(1, len(parts) + 1)) AS d FROM l),
+b AS (SELECT k.parts, k.dir, k.lines, string_agg(CASE WHEN d = len(k.parts) THEN CASE WHEN a.ends THEN '└─ ' ELSE '├─ ' END WHEN a.ends THEN '   ' ELSE '│  ' END, '' ORDER BY d) AS bars FROM k JOIN l a ON a.parts = k.parts[1:d] GROUP BY 1, 2, 3)
+SELECT array_to_string(parts, '/') AS path, bars || parts[-1] || CASE WHEN dir THEN '/' WHEN lines IS NULL THEN '' ELSE ':' || lines END AS text FROM b""")
+def tree_drawn(spark, d):
+    p = F.split_part(F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("?"), F.lit(1)), F.lit("#"), F.lit(1))
+    files = _t(spark, d, "pages").select(p.alias("path"), X.line_count(F.col("html")).alias("lines"))
+    return retrieve.tree_lines(files).select(F.array_join("parts", "/").alias("path"), "text")
+
+
+@_query(None)
+def representatives(spark, d):
+    items = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.length("text").alias("level"), F.lit(1.0).alias("relevance"), F.lit(0.0).alias("proximity"))
+    return fit.representatives(items).select(F.col("id").alias("doc_id"))
+
+
 @_query(None)
 def flagship(spark, d):
     return context_fit(spark, d)
