@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,15 +60,44 @@ def edit_overlaps(ops: DataFrame) -> DataFrame:
     return ops.withColumn("__r", reach).where(F.col("start") <= F.col("__r.end")).select("file", "id", F.col("__r.id").alias("other"))
 
 
+#: The marks of a conflict by the section they end, and the section that each opens.
+_TURNS = {"": {b"<": "ours"}, "ours": {b"|": "base", b"=": "theirs"}, "base": {b"=": "theirs"}, "theirs": {b">": ""}}
+_MARK = re.compile(rb"^(?:<{7,}|\|{7,}|={7,}|>{7,})[^\n]*\n?", re.M)
+CONFLICTS = "file string, block int, byte_start long, byte_end long, start_line long, end_line long, ours_meta string, theirs_meta string, ours string, theirs string, base string"
+
+
+def find_conflicts(file: str, raw: bytes) -> list[tuple]:
+    """Rows of CONFLICTS: sections keep their line ends, a mark out of place is text, a block that never closes is none."""
+    out, state, began, parts, at = [], "", None, {}, 0
+    for m in _MARK.finditer(raw):
+        turn = _TURNS[state].get(m[0][:1])
+        if turn is None:
+            continue
+        if state:
+            parts[state] = raw[at : m.start()].decode(errors="replace")
+        else:
+            began, parts = m, {}
+        state, at = turn, m.end()
+        if not state:
+            meta = [x[0].lstrip(x[0][:1]).decode(errors="replace").strip() for x in (began, m)]
+            first = raw.count(b"\n", 0, began.start()) + 1
+            out.append((file, len(out) + 1, began.start(), m.end(), first, first + raw.count(b"\n", began.start(), m.start()), *meta, parts["ours"], parts["theirs"], parts.get("base")))
+    return out
+
+
 def conflict_blocks(files: DataFrame) -> DataFrame:
-    """(file, block, ours, theirs, base) of git conflict markers at line starts; a block that never closes is left out."""
-    line = files.select("file", F.posexplode(X.lines(F.col("content"))).alias("pos", "text"))
-    w = Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    mark = F.when(F.col("text").rlike("^<{7}"), "ours").when(F.col("text").rlike(r"^\|{7}"), "base").when(F.col("text").rlike("^={7}"), "theirs").when(F.col("text").rlike("^>{7}"), "out")
-    seen = line.withColumn("mark", mark).withColumn("block", F.sum((F.coalesce("mark", F.lit("")) == "ours").cast("long")).over(w)).withColumn("section", F.last("mark", ignorenulls=True).over(w))
-    seen = seen.where("block > 0")
-    part = lambda s: F.array_join(F.transform(F.array_sort(F.collect_list(F.when((F.col("section") == s) & F.col("mark").isNull(), F.struct("pos", "text")))), lambda x: x["text"]), "\n")
-    return seen.groupBy("file", "block").agg(part("ours").alias("ours"), part("theirs").alias("theirs"), part("base").alias("base"), F.max((F.col("mark") == "out").cast("int")).alias("closed"), F.max((F.col("mark") == "theirs").cast("int")).alias("split")).where("closed = 1 and split = 1").drop("closed", "split")
+    """CONFLICTS of files (file, content); content is text or bytes. A file is read by one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [r for f, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for r in find_conflicts(f, raw)]
+            cols = list(zip(*rows)) if rows else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
+
+    names = [x.split()[0] for x in CONFLICTS.split(", ")]
+    types = [{"string": pa.string(), "int": pa.int32(), "long": pa.int64()}[x.split()[1]] for x in CONFLICTS.split(", ")]
+    marked = files.select("file", F.col("content").cast("binary").alias("content")).where(F.col("content").isNotNull())
+    return marked.mapInArrow(run, CONFLICTS)
 
 
 def _squash(c):
@@ -95,3 +128,34 @@ def resolve_smart(conflicts: DataFrame, least: float = 0.95) -> DataFrame:
     reason = F.when(F.col("confidence") >= F.lit(least).cast("float"), reason)
     text = F.when(reason == "disjoint-insertions", F.concat(a, F.when(a.endswith("\n"), "").otherwise("\n"), b)).when(reason.isin("addition-only-ours-empty", "superset-theirs-contains-ours"), b).when(reason.isNotNull(), a)
     return conflicts.withColumn("reason", reason).withColumn("strategy", F.when(reason.isNull(), "interactive").otherwise("smart")).withColumn("resolved", text)
+
+
+def resolve(conflicts: DataFrame, strategy: str, least: float = 0.95) -> DataFrame:
+    """conflicts (ours, theirs, base, confidence) with (strategy, auto_applied, reason, resolved).
+
+    strategy: ours, theirs or base takes that side; interactive leaves all open; smart takes what resolve_smart() settles.
+    A conflict without the side asked for stays open with reason no-base.
+    """
+    if strategy == "smart":
+        return resolve_smart(conflicts, least).withColumn("auto_applied", F.col("resolved").isNotNull())
+    if strategy not in ("ours", "theirs", "base", "interactive"):
+        raise ValueError(f"no such strategy: {strategy}")
+    text = F.lit(None).cast("string") if strategy == "interactive" else F.col(strategy)
+    reason = F.when(text.isNotNull(), f"take-{strategy}").when(F.lit(strategy == "base"), "no-base")
+    return conflicts.withColumns({"strategy": F.lit(strategy), "reason": reason, "resolved": text, "auto_applied": text.isNotNull()})
+
+
+def conflict_summary(resolved: DataFrame) -> DataFrame:
+    """(file, conflicts, auto_resolved, interactive_required) of resolve()'s rows."""
+    return resolved.groupBy("file").agg(F.count("*").alias("conflicts"), F.count_if("auto_applied").alias("auto_resolved"), F.count_if(~F.col("auto_applied")).alias("interactive_required"))
+
+
+def splice(files: DataFrame, resolved: DataFrame) -> DataFrame:
+    """(file, content) of files that have conflicts, as bytes, each settled one replaced by its text; open ones stay as they are."""
+    parts = resolved.where("resolved is not null").groupBy("file").agg(F.array_sort(F.collect_list(F.struct("byte_start", "byte_end", "resolved"))).alias("parts"))
+    both = files.select("file", F.col("content").cast("binary").alias("content")).join(parts, "file")
+    at = lambda i: F.when(i == 0, 0).otherwise(F.element_at("parts", i)["byte_end"])
+    cut = lambda first, end: F.col("content").substr((first + 1).cast("int"), (end - first).cast("int"))
+    pieces = F.transform("parts", lambda p, i: F.concat(cut(at(i), p["byte_start"]), p["resolved"].cast("binary")))
+    tail = cut(F.element_at("parts", -1)["byte_end"], F.octet_length("content"))
+    return both.select("file", F.concat(F.aggregate(pieces, F.lit(b""), lambda a, x: F.concat(a, x)), tail).alias("content"))

@@ -66,7 +66,7 @@ def test_conflicts(spark):
     text = "x\n<<<<<<< HEAD\na  b\n=======\na b\n>>>>>>> t\ny\n<<<<<<< open\nz"
     files = spark.createDataFrame([("f", text)], "file string, content string")
     got = govern.conflict_scores(govern.conflict_blocks(files)).collect()
-    assert [(r.ours, r.theirs, r.base) for r in got] == [("a  b", "a b", "")]
+    assert [(r.ours, r.theirs, r.base, r.start_line, r.end_line, r.ours_meta, r.theirs_meta) for r in got] == [("a  b\n", "a b\n", None, 2, 6, "HEAD", "t")]
     assert 0.7 < got[0].confidence <= 1.0
     rows = spark.createDataFrame([("ours", "theirs", "", 0.5), ("a  b", "a b", "", 0.98), ("", "x", "", 0.98), ("a b c", "b", "", 0.98), ("p", "q", "", 0.98)], "ours string, theirs string, base string, confidence float")
     assert [r.reason for r in govern.resolve_smart(rows).collect()] == [None, "whitespace-only", "addition-only-ours-empty", "superset-ours-contains-theirs", "disjoint-insertions"]
