@@ -65,13 +65,15 @@ def novelty(docs: DataFrame, top: int = 16) -> DataFrame:
 def budget_fit(items: DataFrame, budget: int | dict[str, int], key: str = "bucket") -> DataFrame:
     """(key, id, tokens, pos): in each bucket items by priority, each taken if it still fits, else passed over.
 
-    budget: one for every bucket, or each bucket's own.
+    budget: one for every bucket, or each bucket's own. Priority is by level, relevance and, where there is one, proximity.
 
     The fold is sequential by definition; what can never fit is dropped before, and a bucket is one request's items.
     """
 
+    by = [c for c in ("level", "relevance", "proximity") if c in items.columns]
+
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["level", "relevance", "id"], ascending=[False, False, True], kind="stable")
+        rows = rows.sort_values([*by, "id"], ascending=[*(False for _ in by), True], kind="stable")
         left, keep = budget[rows[key].iloc[0]] if isinstance(budget, dict) else budget, []
         for t in rows.tokens:
             ok = t <= left
@@ -81,7 +83,7 @@ def budget_fit(items: DataFrame, budget: int | dict[str, int], key: str = "bucke
         return pd.DataFrame({key: out[key], "id": out.id, "tokens": out.tokens, "pos": range(1, len(out) + 1)})
 
     room = F.element_at(F.create_map(*[F.lit(x) for kv in budget.items() for x in kv]), F.col(key)) if isinstance(budget, dict) else F.lit(budget)
-    slim = items.where(F.col("tokens") <= room).select(key, "id", "tokens", "level", "relevance")
+    slim = items.where(F.col("tokens") <= room).select(key, "id", "tokens", *by)
     kind = dict(slim.dtypes)
     return slim.groupBy(key).applyInPandas(fold, f"{key} {kind[key]}, id {kind['id']}, tokens long, pos long")
 

@@ -2,22 +2,32 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 
+#: Bytes of queries that are broadcast at once.
+BLOCK_BYTES = 4_000_000
+
 
 def lookup(symbols: DataFrame, queries: DataFrame, k: int = 8, anchor_file: str | None = None, anchor_line: int | None = None, scope: str | None = None, history: list[str] | None = None) -> DataFrame:
     """The k best symbols for each query: (query, symbol's columns, semantic, scope, proximity, history, rank).
 
-    A candidate's name contains the query or all of its tokens, or the symbol is in the anchor's directory. queries is the
-    small side, a list of a user's; the union of candidate sets is one predicate, so no pair comes twice.
+    A candidate's name contains the query or all of its tokens, or the symbol is in the anchor's directory. The union of
+    candidate sets is one predicate, so no pair comes twice. Queries are measured and go out in blocks of about BLOCK_BYTES,
+    each broadcast by itself.
     """
+    asked = queries.select("query").distinct()
+    size = asked.agg(F.coalesce(F.sum(F.octet_length("query") + 16), F.lit(0)).alias("n")).first().n
+    blocks = size // BLOCK_BYTES + 1
+    block = lambda i: asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == i) if blocks > 1 else asked
     q, name = F.lower("query"), F.lower("name")
     near = F.lit(False) if anchor_file is None or "/" not in anchor_file else F.col("file").startswith(anchor_file.rsplit("/", 1)[0] + "/")
     hit = name.contains(q) | F.forall(X.words(F.col("query")), lambda t: name.contains(t)) | near
-    pairs = symbols.join(F.broadcast(queries.select("query").distinct()), hit)  # a user's queries
+    pairs = reduce(DataFrame.unionByName, [symbols.join(F.broadcast(block(i)), hit) for i in range(blocks)])
     scored = pairs.withColumns({"semantic": X.semantic_score(F.col("name"), F.col("query")), "scope": X.scope_score(F.col("file"), F.lit(scope)), "proximity": X.proximity_score(F.col("file"), F.col("start_line"), F.lit(anchor_file), F.lit(anchor_line)) if anchor_file else F.lit(0), "history": F.col("qualified_name").isin(history or []).cast("int")})
     order = Window.partitionBy("query").orderBy(F.desc("semantic"), F.desc("scope"), F.desc("proximity"), F.desc("history"), "file", "start_line", "qualified_name")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(k, 1))
