@@ -336,7 +336,7 @@ def edits_applied(spark, d):
     return out.select(F.col("file").cast("long").alias("doc_id"), "content", F.size("problems").alias("n_problems"))
 
 
-@_query("""SELECT 'src/p' || p_partkey || '.rs' AS file, 'function' AS kind, 'f_' || p_partkey AS name, CAST(strlen(p_type) + 5 AS BIGINT) AS byte_start, CAST(strlen(p_type) + 5 + strlen('pub fn f_' || p_partkey || '() { /* ' || p_name || ' */ }') AS BIGINT) AS byte_end, 2 AS start_line, 2 AS end_line, 'public' AS visibility, p_type AS doc FROM part
+@_query("""SELECT 'src/p' || p_partkey || '.rs' AS file, 'function' AS kind, 'f_' || p_partkey AS name, CAST(strlen(p_type) + 5 AS BIGINT) AS byte_start, CAST(strlen(p_type) + 5 + strlen('pub fn f_' || p_partkey || '() { /* ' || p_name || ' */ }') AS BIGINT) AS byte_end, CAST(2 AS BIGINT) AS start_line, CAST(2 AS BIGINT) AS end_line, 'public' AS visibility, p_type AS doc FROM part
 UNION ALL SELECT 'src/p' || p_partkey || '.py', 'function', 'g_' || p_partkey, 0, strlen('def g_' || p_partkey || '(): pass'), 1, 1, 'public', NULL FROM part""")
 def symbols_of_sources(spark, d):
     part = _t(spark, d, "part")
