@@ -28,8 +28,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def fingerprint_batch(texts: pa.Array, width: int = WIDTH, seed: int = SEED) -> np.ndarray:
-    """uint64 fingerprints of the texts: a bit is set if over half of the shingles' XXH64 have it."""
+def shingle_hashes(texts: pa.Array, width: int = WIDTH, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of every run of `width` words of the texts in order, and how many each text has; one of fewer words has one run."""
     raw, at = text_buffers(texts)
     n = len(at) - 1
     # every text with one space after it; a run of spaces becomes one space, so a shingle is a slice of bytes
@@ -43,7 +43,7 @@ def fingerprint_batch(texts: pa.Array, width: int = WIDTH, seed: int = SEED) ->
     first[1:] &= space[:-1]
     first[doc] = ~space[doc]
     if not first.any():
-        return np.zeros(n, np.uint64)
+        return np.empty(0, np.uint64), np.zeros(n, np.int64)
     flat[space] = 32
     kept = ~space
     kept[1:] |= ~space[:-1]
@@ -57,8 +57,16 @@ def fingerprint_batch(texts: pa.Array, width: int = WIDTH, seed: int = SEED) ->
     a = np.arange(shingles.sum()) + np.repeat(word0 - sh0, shingles)
     b = np.minimum(a + width, np.repeat(word0 + words, shingles)) - 1
     f, view = xxhash.xxh64_intdigest, memoryview(packed)
-    h = np.fromiter((f(view[i:j], seed) for i, j in zip(starts[a].tolist(), (ends[b] - 1).tolist())), np.uint64, len(a))
+    return np.fromiter((f(view[i:j], seed) for i, j in zip(starts[a].tolist(), (ends[b] - 1).tolist())), np.uint64, len(a)), shingles
+
+
+def fingerprint_batch(texts: pa.Array, width: int = WIDTH, seed: int = SEED) -> np.ndarray:
+    """uint64 fingerprints of the texts: a bit is set if over half of the shingles' XXH64 have it."""
+    h, shingles = shingle_hashes(texts, width, seed)
+    n, sh0 = len(shingles), np.cumsum(shingles) - shingles
     out = np.zeros(n, np.uint64)
+    if not len(h):
+        return out
     full = np.flatnonzero(shingles)
     counts = np.zeros((n, 64), np.int64)
     step = 100_000
@@ -270,7 +278,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Of rows that repeat that id within the group one stays (whichever comes first by its text's hash). Rows without an id
     stay, as nothing names them.
     """
-    found = stored(near_duplicates(docs, id_col, text_col).where("doc_id = component_id").select("doc_id"), "kept")
+    return keep_least(docs, near_duplicates(docs, id_col, text_col), id_col, text_col)
+
+
+def keep_least(docs: DataFrame, named: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """keep_one() for the groups of named, (doc_id, component_id)."""
+    found = stored(named.where("doc_id = component_id").select("doc_id"), "kept")
     again = found.groupBy("doc_id").count().where("count > 1").limit(1).count()
     ids = found.select(F.col("doc_id").alias("__one"))
     # a merge join at every size: what stays is most of the corpus, so sending it out would not scale
