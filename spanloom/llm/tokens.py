@@ -3,7 +3,7 @@
 The library's pre-tokenizer is the costly part, and most pre-tokens repeat. So the boundaries that its pattern sets are
 found over code points in numpy, the distinct pre-tokens of a chunk are looked up by hash, and the library's model
 encodes only those that are new. Texts with code points that Python's Unicode tables do not assign go through the
-library as a whole, as its tables may differ there.
+library as a whole, as its tables may differ there; so do texts that hold an added token, which the library splits off first.
 """
 
 from __future__ import annotations
@@ -66,7 +66,7 @@ def pretoken_starts(cp: np.ndarray, kind: np.ndarray, doc_starts: np.ndarray) ->
 
 
 class TokenEncoder:
-    """encode() gives the ids that Tokenizer.encode(text, add_special_tokens=False) gives, special strings as plain text."""
+    """encode() gives the ids that Tokenizer.encode(text, add_special_tokens=False) gives."""
 
     def __init__(self, vocab: str = VOCAB, cache_entries: int = CACHE_ENTRIES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -74,7 +74,7 @@ class TokenEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocab if os.sep in vocab else public_tokenizers.path(vocab))
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model, self.alphabet, self.most = self.tokenizer.model, _byte_alphabet(), cache_entries
         self._clear()
 
@@ -113,9 +113,11 @@ class TokenEncoder:
         classes, mixed = _classes()
         cp = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), "<u4")
         kind = classes[cp]
-        odd = np.flatnonzero(kind == _UNKNOWN)
+        odd = np.searchsorted(stops, np.flatnonzero(kind == _UNKNOWN), "right")
+        if any(t in whole for t in self.added):
+            odd = np.append(odd, [d for d, x in enumerate(texts) if any(t in x for t in self.added)]).astype(np.int64)
         if len(odd):  # these texts by the library alone
-            odd = np.unique(np.searchsorted(stops, odd, "right"))
+            odd = np.unique(odd)
             alone = {int(d): self.tokenizer.encode(texts[d], add_special_tokens=False).ids for d in odd}
             ids, counts = self._encode([("" if d in alone else t) for d, t in enumerate(texts)])
             parts = np.split(ids, np.cumsum(counts)[:-1])
