@@ -22,8 +22,8 @@ _MALE = r"(?:Mr|Herr|Herrn|Monsieur|Señor|Sr|Signor|Г-н|Κύριος)"
 #: Each kind's pattern, in order of preference at one place. All repetition is bounded or possessive.
 PATTERNS = {
     "email": r"(?<![\p{L}0-9._%+\-])[\p{L}0-9._%+\-]{1,64}+@(?:[\p{L}0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\p{L}0-9\-])",
-    "secret": r"(?<!\p{L})(?i:access_token|token|secret|password|passwd|api[_\-]?key)[\"']? ?[=:] ?[\"']?[A-Za-z0-9+/_\-]{12,128}+",
-    "key": r"(?<![A-Za-z0-9])(?:A[KS]IA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9\-]{20,64}|xox[abprs]-[A-Za-z0-9\-]{10,72})(?![A-Za-z0-9])",
+    "secret": r"(?<!\p{L})(?i:access_token|token|secret|password|passwd|api[_\-]?key)[\"']? ?[=:] ?[\"']?[A-Za-z0-9+/_\-]{12,}+",
+    "key": r"(?<![A-Za-z0-9])(?:A[KS]IA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9\-]{20,}+|xox[abprs]-[A-Za-z0-9\-]{10,}+)(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ipv4": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)",
     "phone": r"(?<![\w+])\+\d{1,3}[ .\-]?\(?\d{1,4}\)?(?:[ .\-]?\d{2,4}){2,4}(?!\d)|(?<![\w+])\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\d)|(?<![\d.\-+])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\d\-])",
@@ -33,7 +33,7 @@ PATTERNS = {
 }
 ANY = rf"(?<![\p{{L}}0-9])(?:{'|'.join(PATTERNS.values())})"
 #: Every match of ANY has one of these; most texts of prose have none and are done after this.
-HINT = r"[0-9@=:]|[FHMSГΚ]\S{1,8} \p{Lu}"
+HINT = r"[0-9@=:]|A[KS]IA|gh[pousr]_|sk-|xox[abprs]-|[FHMSГΚ]\S{1,8} \p{Lu}"
 _SYLLABLES = {
     "latin": [c + v + e for c in "b d f g k l m n p r s t v z br tr".split() for v in "a e i o".split() for e in ("", "n")],
     "cyrillic": [c + v + e for c in "б в г д к л м н п р с т ф з бр тр".split() for v in "а е и о".split() for e in ("", "н")],
