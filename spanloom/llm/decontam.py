@@ -5,6 +5,8 @@ An item of m characters that a text holds with at most k edits shares m + 1 - q
 over whole texts in numpy; hits are counted in bands of 2 (k + 1) diagonals that overlap by half, so one band holds them
 all. Bands that reach the bound are verified by banded alignment.
 
+Items too short for the lemma are looked up exactly, as whole words.
+
 Texts and items are compared lower-cased, with each run of ASCII characters that are no letters or digits as one blank.
 """
 
@@ -18,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_buffers
+from .common import BYTE_MIX, slices, span_hashes, text_buffers
 
 Q, MAX_EDITS, MIN_CHARS, BLOCK_BYTES = 8, 0.10, 32, 4_000_000
 _TABLE_BITS = 22
@@ -164,6 +166,44 @@ class ItemIndex:
         return [(r, self.ids[i], s, e, d) for (r, i), (d, s, e) in sorted(found.items())]
 
 
+class ShortItems:
+    """The items that ItemIndex leaves out for their length; they match whole words without an edit."""
+
+    def __init__(self, ids: list[int | None], texts: list[str | None], min_chars: int = MIN_CHARS):
+        flat, at = normalise(pa.array(texts, pa.string()))
+        self.by_size: dict[int, dict[bytes, list[int | None]]] = {}
+        for i, d in enumerate(ids):
+            x = flat[at[i] : at[i + 1]].tobytes().strip(b" ")
+            if 0 < len(x) < max(min_chars, Q):
+                self.by_size.setdefault(len(x) + 2, {}).setdefault(b" " + x + b" ", []).append(d)
+        self.hashes = {n: np.unique(self._hashes(np.frombuffer(b"".join(x), np.uint8), np.arange(len(x)) * n, n)) for n, x in self.by_size.items()}
+
+    @staticmethod
+    def _hashes(flat: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+        return span_hashes(BYTE_MIX[flat], starts, starts + size)
+
+    def search(self, texts: pa.Array) -> list[tuple[int, int | None, int, int, int]]:
+        """(row, item id, start, end, edits) as ItemIndex.search() gives them: each item's first place in each text."""
+        if not self.by_size or not len(texts):
+            return []
+        flat, at = normalise(texts)
+        blank = np.flatnonzero(flat == 32)
+        row = np.searchsorted(at, blank, "right") - 1
+        found: dict[tuple[int, int, bytes], tuple[int, int]] = {}
+        for size, items in self.by_size.items():
+            ok = blank + size <= at[row + 1]
+            p, r = blank[ok], row[ok]
+            ok = flat[p + size - 1] == 32  # a word ends there
+            p, r = p[ok], r[ok]
+            hit = np.isin(self._hashes(flat, p, size), self.hashes[size])
+            for a, b in zip(p[hit].tolist(), r[hit].tolist()):
+                x = flat[a : a + size].tobytes()
+                if x in items:
+                    start = a - int(at[b]) + 1
+                    found.setdefault((b, size, x), (start, start + size - 2))
+        return sorted(((b, d, s, e, 0) for (b, size, x), (s, e) in found.items() for d in self.by_size[size][x]), key=lambda m: (m[0], m[2], m[3]))
+
+
 def item_blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[list, list]]:
     """The items in blocks of at most block_bytes (a longer item is a block), so what is sent out is bounded."""
     ids, texts, held = [], [], 0
@@ -182,8 +222,8 @@ def item_blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str =
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", edits: float = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, item_id, start, end, edits) for every item that a text holds with at most edits * its length edits.
 
-    start and end are bytes of the folded text. Items of fewer than min_chars folded bytes, and null ones, match nothing;
-    nor do null and empty texts. Repeated rows and repeated items each give their rows.
+    start and end are bytes of the folded text. Items of fewer than min_chars folded bytes match whole words without an edit.
+    Null items and those that fold to nothing match nothing; nor do null and empty texts. Repeated rows and repeated items each give their rows.
     """
     spark, out = docs.sparkSession, None
     schema = "doc_id long, item_id long, start long, end long, edits long"
@@ -192,10 +232,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
         sent = spark.sparkContext.broadcast((ids, texts, edits, min_chars))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(*sent.value)
+            index, short = ItemIndex(*sent.value), ShortItems(*sent.value[:2], sent.value[3])
             for batch in batches:
                 for part in slices(batch, "text"):
-                    got = index.search(part.column(1))
+                    got = index.search(part.column(1)) + short.search(part.column(1))
                     if got:
                         r, item, a, b, d = zip(*got)
                         yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(r)), *(pa.array(x, pa.int64()) for x in (item, a, b, d))], ["doc_id", "item_id", "start", "end", "edits"])
@@ -212,11 +252,11 @@ def drop_matching(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         sent = docs.sparkSession.sparkContext.broadcast((ids, texts, edits, min_chars))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(*sent.value)
+            index, short = ItemIndex(*sent.value), ShortItems(*sent.value[:2], sent.value[3])
             for batch in batches:
                 for part in slices(batch, text_col):
                     keep = np.ones(part.num_rows, bool)
-                    keep[[m[0] for m in index.search(part.column(at))]] = False
+                    keep[[m[0] for m in index.search(part.column(at)) + short.search(part.column(at))]] = False
                     yield part.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, schema)
