@@ -290,6 +290,14 @@ def restore_conflicts(spark, d):
     return govern.restore_conflicts(b, c)
 
 
+@_query("""WITH b AS (SELECT s_suppkey AS path, s_nationkey AS x FROM supplier), c AS (SELECT c_custkey + 5 AS path, c_nationkey AS x FROM customer)
+SELECT path, CASE WHEN c.x IS NULL THEN 'missing' WHEN b.x IS NULL THEN 'new' ELSE 'changed' END AS state FROM b FULL JOIN c USING (path) WHERE b.x IS DISTINCT FROM c.x""")
+def restore_conflicts_whole(spark, d):
+    b = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("path"), F.col("s_nationkey").alias("sum"))
+    c = _t(spark, d, "customer").select((F.col("c_custkey") + 5).alias("path"), F.col("c_nationkey").alias("sum"))
+    return govern.restore_conflicts(b, c)
+
+
 @_query(f"""WITH x AS ({_SPANS}), r AS (SELECT *, max(struct_pack(e := e, id := id)) OVER (PARTITION BY k ORDER BY s, e, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM x)
 SELECT k AS file, id, reach.id AS other FROM r WHERE s <= reach.e""")
 def edit_overlap(spark, d):
