@@ -363,6 +363,15 @@ def anchor_hints(spark, d):
     return out.select("point_id", "status", "name", F.when(F.col("status") == "outside_scope", F.coalesce(F.size("nearest"), F.lit(0))).alias("n_nearest"))
 
 
+@_query(f"""WITH x AS ({_SPANS}), p AS (SELECT p_partkey AS id, p_partkey + 5 AS k, p_size AS line FROM part), f AS (SELECT p_partkey AS k, true AS there FROM part), b AS (SELECT k, max(struct_pack(s := s, e := e, id := x.id)) AS b FROM p JOIN x USING (k) WHERE s <= line AND line <= e GROUP BY k), n AS (SELECT k, count(*) AS n FROM x GROUP BY k)
+SELECT p.id AS point_id, CASE WHEN there IS NULL THEN 'not_a_file' WHEN b.b IS NOT NULL THEN 'good' ELSE 'outside_scope' END AS status, b.b.id AS name, CASE WHEN there AND b.b IS NULL THEN CAST(least(coalesce(n, 0), 3) AS INT) END AS n_nearest FROM p LEFT JOIN f USING (k) LEFT JOIN b USING (k) LEFT JOIN n USING (k)""")
+def anchor_hints_whole(spark, d):
+    points = _points(spark, d).select("point_id", (F.col("key") + 5).alias("file"), "line")
+    spans = _spans(spark, d).withColumnsRenamed({"id": "name", "key": "file"})
+    out = retrieve.anchor_hints(points, spans, _points(spark, d).select(F.col("key").alias("file")))
+    return out.select("point_id", "status", "name", F.when(F.col("status") == "outside_scope", F.coalesce(F.size("nearest"), F.lit(0))).alias("n_nearest"))
+
+
 @_query("""WITH u AS (SELECT split_part(split_part(split_part(url, '://', 2), '?', 1), '#', 1) AS path, CAST(""" + _LINES.format(t="html") + """ AS BIGINT) AS lines FROM pages),
 x AS (SELECT lines, string_split(path, '/') AS p FROM u), y AS (SELECT lines, p, unnest(range(1, len(p) + 1)) AS depth FROM x),
 n AS (SELECT p[1:depth] AS parts, bool_or(depth < len(p)) AS dir, max(CASE WHEN depth = len(p) THEN lines END) AS lines FROM y GROUP BY 1),

@@ -9,3 +9,8 @@ def test_whole_tables_reach_the_operators(spark):
     states = catalog.queries()["restore_conflicts_whole"](spark, DATA)
     most = spark.read.parquet(f"{DATA}/customer.parquet").agg(F.max("c_custkey")).first()[0]
     assert states.agg(F.max("path")).first()[0] == most + 5 and states.where("state = 'missing'").count()
+
+
+def test_whole_spans_reach_the_operator(spark):
+    hints = catalog.queries()["anchor_hints_whole"](spark, DATA)
+    assert hints.where("status = 'not_a_file'").count() == 5
