@@ -42,6 +42,17 @@ def jaccard_pairs(docs: DataFrame, threshold: float = 0.7, n: int = 4, apart: st
     return near.join(sa, "a").join(sb, "b").select("a", "b", X.jaccard(F.col("x"), F.col("y")).alias("jaccard")).where(F.col("jaccard") >= threshold)
 
 
+def jaccard_members(docs: DataFrame, n: int = 4) -> DataFrame:
+    """(doc_id, representative, texts) for every row: the id that stands in jaccard_pairs for its set of shingles, and how many
+    different texts have that set, which are alike at 1.0. A text without shingles stands for itself.
+    """
+    s = X.shingles(X.words(F.col("text")), n)
+    h = F.when(F.size(s) > 0, F.sha2(F.array_join(F.array_sort(s), "\n"), 256)).otherwise(F.concat(F.lit("own "), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    own = docs.select("doc_id", h.alias("h"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("t"))
+    classes = own.groupBy("h", "t").agg(F.min("doc_id").alias("m")).groupBy("h").agg(F.min("m").alias("representative"), F.count("*").alias("texts"))
+    return own.join(classes.hint("merge"), "h").select("doc_id", "representative", "texts")
+
+
 def terms(t):
     """Runs of letters, digits and _ of two bytes or more, with A-Z lower-cased, without stop words."""
     return F.filter(F.regexp_extract_all(X.ascii_lower(t), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda w: (F.octet_length(w) >= 2) & ~w.isin(STOPWORDS))

@@ -141,6 +141,13 @@ def jaccard_pairs(spark, d):
     return fit.jaccard_pairs(_t(spark, d, "documents")).withColumn("jaccard", F.round("jaccard", 9))
 
 
+@_query(f"""WITH s AS (SELECT doc_id, md5(string_agg(g, chr(10) ORDER BY g)) AS h FROM {_grams_sql('documents', 'doc_id', 4)} GROUP BY doc_id),
+o AS (SELECT doc_id, coalesce(h, 'own ' || doc_id) AS h, coalesce(text, '') AS text FROM documents LEFT JOIN s USING (doc_id)), c AS (SELECT h, min(doc_id) AS representative, count(DISTINCT text) AS texts FROM o GROUP BY h)
+SELECT doc_id, representative, texts FROM o JOIN c USING (h)""")
+def jaccard_members(spark, d):
+    return fit.jaccard_members(_t(spark, d, "documents"))
+
+
 @_query(f"SELECT doc_id, item_id, count(*) AS shared FROM {_grams_sql('documents', 'doc_id', 8)} x JOIN {_grams_sql('benchmark', 'item_id', 8)} b USING (g) GROUP BY 1, 2")
 def shared_shingles(spark, d):
     grams = lambda t, c: _t(spark, d, t).select(c, F.explode(X.shingles(X.words(F.col("text")), 8)).alias("g"))
