@@ -15,10 +15,19 @@ from . import lineage
 STOPWORDS = ["fn", "function", "struct", "impl", "implementation", "module", "class", "pub", "public", "trait", "interface", "method", "test", "assert", "std", "fmt", "debug", "display", "derive", "clone", "copy", "eq"]
 
 
+def _hashed(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.sha2(X.squeezed(F.col("text")), 256).alias("h"))
+
+
+def exact_classes(docs: DataFrame) -> DataFrame:
+    """(h, first_id, copies): a row for each class of rows whose squeezed texts are equal, by hash."""
+    return _hashed(docs).groupBy("h").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
+
+
 def exact_groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, first_id, copies): rows whose squeezed texts are equal, by hash of the text with the text itself as key."""
-    norm = docs.select("doc_id", X.squeezed(F.col("text")).alias("norm")).withColumn("h", F.sha2("norm", 256))
-    return norm.groupBy("h").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")).select("first_id", "copies")
+    """(doc_id, first_id, copies) for every row: the class it is in. A merge join, so that a large class can be split."""
+    own, classes = _hashed(docs), exact_classes(docs)
+    return own.join(classes.withColumnRenamed("h", "k").hint("merge"), F.col("h").eqNullSafe(F.col("k"))).select("doc_id", "first_id", "copies")
 
 
 def jaccard_pairs(docs: DataFrame, threshold: float = 0.7, n: int = 4, apart: str | None = None) -> DataFrame:

@@ -124,6 +124,14 @@ n AS (SELECT doc_id, i, trim(regexp_replace(regexp_replace(x, '//.*$', ''), '\s+
 t AS (SELECT d.doc_id, coalesce(string_agg(x, ' ' ORDER BY i) FILTER (x <> ''), '') AS norm FROM documents d LEFT JOIN n USING (doc_id) GROUP BY d.doc_id)
 SELECT min(doc_id) AS first_id, count(*) AS copies FROM t GROUP BY norm""")
 def exact_dups(spark, d):
+    return fit.exact_classes(_t(spark, d, "documents")).select("first_id", "copies")
+
+
+@_query(r"""WITH l AS (SELECT doc_id, generate_subscripts(a, 1) AS i, unnest(a) AS x FROM (SELECT doc_id, string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) AS a FROM documents)),
+n AS (SELECT doc_id, i, trim(regexp_replace(regexp_replace(x, '//.*$', ''), '\s+', ' ', 'g')) AS x FROM l),
+t AS (SELECT d.doc_id, coalesce(string_agg(x, ' ' ORDER BY i) FILTER (x <> ''), '') AS norm FROM documents d LEFT JOIN n USING (doc_id) GROUP BY d.doc_id)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS first_id, count(*) OVER (PARTITION BY norm) AS copies FROM t""")
+def exact_dup_members(spark, d):
     return fit.exact_groups(_t(spark, d, "documents"))
 
 

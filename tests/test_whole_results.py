@@ -20,3 +20,8 @@ def test_whole_spans_reach_the_operator(spark):
 def test_folded_texts_are_members(spark):
     docs = spark.createDataFrame([(1, "a b c d e"), (2, "A b, c d e"), (3, "a b c d e"), (4, "a"), (5, None), (6, "p q r s")], "doc_id long, text string")
     assert sorted(map(tuple, fit.jaccard_members(docs).collect())) == [(1, 1, 2), (2, 1, 2), (3, 1, 2), (4, 4, 1), (5, 5, 1), (6, 6, 1)]
+
+
+def test_every_row_names_its_class(spark):
+    docs = spark.createDataFrame([(1, "a  b // x"), (2, "a b"), (3, "c"), (4, "a b")], "doc_id long, text string")
+    assert sorted(map(tuple, fit.exact_groups(docs).collect())) == [(1, 1, 3), (2, 1, 3), (3, 3, 1), (4, 1, 3)]
