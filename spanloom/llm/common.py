@@ -9,18 +9,20 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, object] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where the session names none (tests)."""
-    try:
-        found = spark.conf.get("spark.checkpoint.dir")
-    except Exception:  # the setting is unknown to this session
-        found = None
+    """The folder all executors share: spark.checkpoint.dir, or a temporary one where a local session names none (tests)."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = str(_OWN.setdefault("dir", tempfile.mkdtemp(prefix="spanloom-")))
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if "dir" not in _OWN:
+            _OWN["dir"] = tempfile.mkdtemp(prefix="spanloom-")
+        found = str(_OWN["dir"])
     return found.rstrip("/")
 
 
@@ -50,6 +52,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """name, with underscores before it until no column has it (Spark's names ignore case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """df without its columns of these names: an operator's result takes the place of an input column of its name."""
+    gone = {n.lower() for n in names}
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in gone])
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all values and their n + 1 offsets; a null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -104,7 +120,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Rolling polynomial hashes mod 2 ** 64 of values[start:end] for many spans at once; values: uint64, well mixed."""
+    """Rolling polynomial hashes mod 2 ** 64 of values[start:end] for many spans at once; values: uint64, well mixed.
+
+    Long spans can be made to collide whatever the base (Thue-Morse words), so whoever must tell spans apart compares them
+    as well, or codes them by exact_codes().
+    """
     if not len(starts):
         return np.empty(0, np.uint64)
     up, down = powers(len(values))
@@ -115,3 +135,10 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
 
 
 BYTE_MIX = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def exact_codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """A number for each of the spans data[offsets[i]:offsets[i + 1]] (bytes), equal for equal bytes, and the distinct spans by number."""
+    spans = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+    coded = spans.dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary

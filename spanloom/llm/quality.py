@@ -1,8 +1,8 @@
 """Quality rules from repetition coverage.
 
-Words and lines are hashed as spans of bytes with one rolling polynomial hash in numpy; hashes of n-grams roll over the
-words' hashes. A text's measure is the share of its word characters inside n-grams, or lines, that occur in it more than
-once, for several n.
+Words and lines get numbers by their bytes; n-grams are found by a rolling polynomial hash over the words' numbers in
+numpy, and n-grams of one hash are compared word by word, so a collision counts as no repeat. A text's measure is the share
+of its word characters inside n-grams, or lines, that occur in it more than once, for several n.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_MIX, mix, slices, span_hashes, text_buffers
+from .common import exact_codes, mix, slices, span_hashes, text_buffers
 
 #: The most of a text's word characters that repeated n-grams may cover, by n, and repeated lines.
 NGRAM_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
@@ -26,14 +26,27 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 
 
-def _repeated(h: np.ndarray) -> np.ndarray:
-    """Whether each hash occurs more than once."""
+def _repeated(h: np.ndarray, grams: np.ndarray, words: np.ndarray, doc: np.ndarray, k: int) -> np.ndarray:
+    """Whether each k-gram (by its first word's place) occurs in its text more than once; h: their hashes."""
     order = np.argsort(h)
-    s = h[order]
-    same = np.zeros(len(s) + 1, bool)
-    same[1:-1] = s[1:] == s[:-1]
+    s, at = h[order], grams[order]
+    same = s[1:] == s[:-1]
+    pair = np.flatnonzero(same)
+    equal = doc[at[pair]] == doc[at[pair + 1]]
+    for i in range(k):
+        equal &= words[at[pair] + i] == words[at[pair + 1] + i]
+    if not equal.all():  # hashes that collide: tell their n-grams apart by the words
+        own = np.isin(s, s[pair[~equal]])
+        rows = np.stack([doc[at[own]], *(words[at[own] + i] for i in range(k))], 1)
+        s = np.where(own, 0, s)
+        s[own] = np.unique(rows, axis=0, return_inverse=True)[1].reshape(-1)
+        again = np.lexsort((s, own))
+        order, s, own = order[again], s[again], own[again]
+        same = (s[1:] == s[:-1]) & (own[1:] == own[:-1])
+    twice = np.zeros(len(s) + 1, bool)
+    twice[1:-1] = same
     out = np.empty(len(s), bool)
-    out[order] = same[1:] | same[:-1]
+    out[order] = twice[1:] | twice[:-1]
     return out
 
 
@@ -49,7 +62,6 @@ def measure(texts: pa.Array, lengths: tuple[int, ...] = tuple(NGRAM_LIMITS)) ->
     stops = ends + 1
     doc_of = lambda p: np.searchsorted(stops, p, "right")
     count = lambda d, w=None: np.bincount(d, weights=w, minlength=n).astype(np.int64)
-    mixed = BYTE_MIX[flat]
     space = _SPACE[flat]
     edge = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
     w0, w1 = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
@@ -61,22 +73,23 @@ def measure(texts: pa.Array, lengths: tuple[int, ...] = tuple(NGRAM_LIMITS)) ->
     l1 = np.flatnonzero(flat == 10)
     l0 = np.concatenate([[0], l1[:-1] + 1]) if len(l1) else l1
     words_in = np.searchsorted(w0, l1) - np.searchsorted(w0, l0)
-    l0, l1 = l0[words_in > 0], l1[words_in > 0]
+    line, _ = exact_codes(flat[flat != 10], np.concatenate([[0], np.cumsum(l1 - l0)]))
+    l0, l1, line = l0[words_in > 0], l1[words_in > 0], line[words_in > 0]
     ld = doc_of(l0)
-    lh = span_hashes(mixed, l0, l1) ^ salt[ld]
-    first = np.zeros(len(lh), bool)
-    first[np.unique(lh, return_index=True)[1]] = True
+    first = np.zeros(len(line), bool)
+    first[np.unique(ld * (len(flat) + 1) + line, return_index=True)[1]] = True
     out["n_dup_lines"] = count(ld[~first])
     total = np.concatenate([[0], np.cumsum(chars)])
     a, b = np.searchsorted(w0, l0), np.searchsorted(w0, l1)
     out["dup_line_chars"] = count(ld[~first], (total[b] - total[a])[~first])
     # n-grams
-    wh = span_hashes(mixed, w0, w1)
+    word, _ = exact_codes(flat[~space], np.concatenate([[0], np.cumsum(w1 - w0)]))
+    mixed = mix(word.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
     for k in (3, *lengths):
-        i = np.arange(max(len(wh) - k + 1, 0))
+        i = np.arange(max(len(word) - k + 1, 0))
         i = i[wd[i] == wd[i + k - 1]] if len(i) else i
-        g = i[_repeated(span_hashes(wh, i, i + k) ^ salt[wd[i]])] if len(i) else i
-        step = np.zeros(len(wh) + 1, np.int64)
+        g = i[_repeated(span_hashes(mixed, i, i + k) ^ salt[wd[i]], i, word, wd, k)] if len(i) else i
+        step = np.zeros(len(word) + 1, np.int64)
         np.add.at(step, g, 1)
         np.add.at(step, g + k, -1)
         inside = np.cumsum(step[:-1]) > 0
@@ -88,7 +101,10 @@ def measure(texts: pa.Array, lengths: tuple[int, ...] = tuple(NGRAM_LIMITS)) ->
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, counts, base_failed, kept) of every row. A null text has no words, so it fails.
+    """(doc_id, counts, base_failed, kept) of every row. A null or empty text has no words, so it fails.
+
+    A text of any length is measured whole, in one task. Repeated rows and null ids each get their row; other columns of docs,
+    whatever their names, are not read. An empty table gives no rows.
 
     base_failed: under MIN_WORDS words, or over MAX_REPEAT_PERCENT of them in repeated 3-word windows. kept is false if
     base_failed, or if repeated n-grams or lines, or symbols for each word, are over their limits.

@@ -1,8 +1,8 @@
 """Byte-level BPE over whole texts with the tokenizers library.
 
 The library's pre-tokenizer is the costly part, and most pre-tokens repeat. So the boundaries that its pattern sets are
-found over code points in numpy, the distinct pre-tokens of a chunk are looked up by hash, and the library's model
-encodes only those that are new. Texts with code points that Python's Unicode tables do not assign go through the
+found over code points in numpy, the distinct pre-tokens of a chunk (told apart by their bytes) are looked up in a
+dictionary, and the library's model encodes only those that are new. Texts with code points that Python's Unicode tables do not assign go through the
 library as a whole, as its tables may differ there; so do texts that hold an added token, which the library splits off first.
 """
 
@@ -13,23 +13,23 @@ import unicodedata
 
 import numpy as np
 
-from .common import mix, span_hashes
+from .common import exact_codes
 
 VOCAB = "byte_bpe_50k.json"
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 500_000
 _OTHER, _LETTER, _NUMBER, _SPACE, _UNKNOWN = range(5)
 #: The code points with Unicode's White_Space property.
 _WHITE = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _KEPT: dict = {}
 
 
-def _classes() -> tuple[np.ndarray, np.ndarray]:
+def _classes() -> np.ndarray:
     if "classes" not in _KEPT:
         code = {"L": _LETTER, "N": _NUMBER, "Cn": _UNKNOWN, "Cs": _UNKNOWN}
         names = [unicodedata.category(chr(i)) for i in range(0x110000)]
         k = np.array([code.get(c, code.get(c[0], _OTHER)) for c in names], np.uint8)
         k[_WHITE] = _SPACE
-        _KEPT["classes"] = k, mix(np.arange(1, 0x110001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        _KEPT["classes"] = k
     return _KEPT["classes"]
 
 
@@ -79,20 +79,23 @@ class TokenEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.known, self.at, self.size = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.known: dict[bytes, int] = {}  # the number of each pre-token seen
+        self.at, self.size = np.empty(1 << 12, np.int64), np.empty(1 << 12, np.int64)
         self.pool, self.used = np.empty(1 << 20, np.uint32), 0
 
-    def _learn(self, words: list[str], hashes: np.ndarray, where: np.ndarray) -> None:
+    def _learn(self, words: list[bytes]) -> None:
         one, table = self.model.tokenize, self.alphabet
-        got = [[t.id for t in one(w.encode().decode("latin-1").translate(table))] for w in words]
+        got = [[t.id for t in one(w.decode("latin-1").translate(table))] for w in words]
         size = np.fromiter(map(len, got), np.int64, len(got))
-        total = int(size.sum())
+        total, n = int(size.sum()), len(self.known)
         while self.used + total > len(self.pool):
             self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
+        while n + len(words) > len(self.at):
+            self.at, self.size = np.concatenate([self.at, self.at]), np.concatenate([self.size, self.size])
         self.pool[self.used : self.used + total] = np.fromiter((i for x in got for i in x), np.uint32, total)
-        self.known = np.insert(self.known, where, hashes)
-        self.at = np.insert(self.at, where, self.used + np.cumsum(size) - size)
-        self.size = np.insert(self.size, where, size)
+        self.at[n : n + len(words)] = self.used + np.cumsum(size) - size
+        self.size[n : n + len(words)] = size
+        self.known.update(zip(words, range(n, n + len(words))))
         self.used += total
 
     def encode(self, texts: list[str | None], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -110,7 +113,7 @@ class TokenEncoder:
         whole = "".join(texts)
         if not whole:
             return np.empty(0, np.uint32), np.zeros(len(texts), np.int64)
-        classes, mixed = _classes()
+        classes = _classes()
         cp = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), "<u4")
         kind = classes[cp]
         odd = np.searchsorted(stops, np.flatnonzero(kind == _UNKNOWN), "right")
@@ -125,19 +128,17 @@ class TokenEncoder:
                 parts[d], counts[d] = np.array(x, np.uint32), len(x)
             return np.concatenate(parts), counts
         starts = pretoken_starts(cp, kind, (stops - size)[size > 0])
-        ends = np.append(starts[1:], len(cp))
-        h = span_hashes(mixed[cp], starts, ends)
+        raw = np.frombuffer(whole.encode(), np.uint8)
+        at = starts if len(raw) == len(cp) else np.flatnonzero((raw & 0xC0) != 0x80)[starts]  # where each begins in UTF-8
+        code, distinct = exact_codes(raw, np.append(at, len(raw)))
         if len(self.known) > self.most:
             self._clear()
-        u, first, back = np.unique(h, return_index=True, return_inverse=True)
-        pos = np.searchsorted(self.known, u)
-        new = np.flatnonzero(pos == len(self.known)) if not len(self.known) else np.flatnonzero(self.known[np.minimum(pos, len(self.known) - 1)] != u)
-        if len(new):
-            self._learn([whole[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())], u[new], pos[new])
-            pos = np.searchsorted(self.known, u)
-        n = self.size[pos][back]
+        words = distinct.to_pylist()
+        self._learn([w for w in words if w not in self.known])
+        pos = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))[code]
+        n = self.size[pos]
         begin = np.cumsum(n) - n
-        ids = self.pool[np.repeat(self.at[pos][back] - begin, n) + np.arange(int(n.sum()))]
+        ids = self.pool[np.repeat(self.at[pos] - begin, n) + np.arange(int(n.sum()))]
         counts = np.bincount(np.searchsorted(stops, starts, "right"), weights=n, minlength=len(texts)).astype(np.int64)
         return ids, counts
 
