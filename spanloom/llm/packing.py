@@ -103,7 +103,8 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: str = VOCAB, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset[, ids]) for every piece of every row.
 
-    A null or empty text is its end id alone. Repeated rows are packed each by itself. ids (with_ids=True) are the piece's
+    A null or empty text is its end id alone; one of any length is cut into pieces. Repeated rows and null ids are packed
+    each by itself. Other columns of docs, whatever their names, are not read. ids (with_ids=True) are the piece's
     ids as little-endian unsigned 32-bit integers; ids_crc32 is their checksum. An empty table gives no rows.
     """
     cut = stored(pieces(docs, id_col, text_col, vocab, capacity, end_id, with_ids), "pieces")
@@ -114,7 +115,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab:
     sent = docs.sparkSession.sparkContext.broadcast(table)  # a combination has at most sqrt(2 * capacity) lengths
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = held.select("part", "length", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("earlier"))
-    ranked = cut.join(base, ["part", "length"]).withColumn("rank", F.col("nth") + F.col("earlier")).drop("part", "nth", "earlier")
+    # a merge join at every size: the counts grow with the number of parts
+    ranked = cut.join(base.hint("merge"), ["part", "length"]).withColumn("rank", F.col("nth") + F.col("earlier")).drop("part", "nth", "earlier")
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *["ids"] * with_ids]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

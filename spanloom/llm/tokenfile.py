@@ -9,7 +9,8 @@ A word is 4 bits of selector above 60 bits of payload. Selectors 0 to 13 pack CO
 id lowest; 15 is an escape: the next word holds one raw 64-bit id.
 
 Spark's text writer commits the files: a frame is the value and MARK the line separator, so any store that Spark reaches
-will do and a lost executor's half-written file is never seen.
+will do and a lost executor's half-written file is never seen. A task begins a new file after FILE_FRAMES frames, so a
+reader, which takes a file as a whole, never holds more than those.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from .common import shared_path, slices, stored
 from .tokens import VOCAB, encoder
 
 MARK = "S8TKEND\n"
-BLOCK, FRAME_IDS = 1024, 1 << 18
+BLOCK, FRAME_IDS, FILE_FRAMES = 1024, 1 << 18, 32
 WIDTHS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 COUNTS = 60 // WIDTHS
 ESCAPE = 15
@@ -141,8 +142,9 @@ def frames(data: bytes) -> Iterator[tuple[int, int, list[int | None], np.ndarray
 def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocab: str = VOCAB, end_id: int = 0, frame_ids: int = FRAME_IDS) -> None:
     """Writes the ids of every whole text, end_id after each, in ascending order of id_col, as files below path.
 
-    A null text is empty, a null id comes first; rows that repeat an id follow their texts' order. Whole documents share a
-    frame until it has frame_ids ids.
+    A null text is empty, a null id comes first; rows that repeat an id (or lack one) follow a hash of their texts and may
+    be in several parts, so that no id binds a task. Whole documents share a frame until it has frame_ids ids; a text of any
+    length is one document of one frame. Other columns of docs, whatever their names, are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,8 +164,10 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
         if docs_:
             yield pa.RecordBatch.from_arrays([pa.array([frame(part, before, docs_, np.concatenate(counts_), np.concatenate(ids_))], pa.binary())], ["value"])
 
-    sorted_ = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    sorted_.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", MARK).text(path)
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    sorted_ = slim.repartitionByRange(*order).sortWithinPartitions(*order, "text")
+    sorted_.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", MARK).option("maxRecordsPerFile", FILE_FRAMES).text(path)
 
 
 def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
@@ -192,7 +196,7 @@ def token_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Writes token files, reads them back, and returns (doc_id, start, n_tokens, ids_crc32) for every document.
 
     start counts the ids of all documents before it. Only one total for each part, not for each row, reaches the driver:
-    parts are as many as shuffle partitions. An empty table gives no rows.
+    parts are as many as shuffle partitions. An empty table gives no rows; null ids and repeated rows each get theirs.
     """
     spark = docs.sparkSession
     path = path or shared_path(spark, "tokens")
