@@ -9,7 +9,7 @@ CASES = [("token = ", "aB3/" * 32 + "x"), ("secret: ", "Q" * 129), ("password=",
 
 def test_whole_secrets_are_replaced(spark):
     docs = spark.createDataFrame([(i, f"see {h}{v} there") for i, (h, v) in enumerate(CASES)], "doc_id long, text string")
-    rows = {r.doc_id: r for r in pii.pseudonymise(docs).collect()}
+    rows = {r.doc_id: r for r in pii.pseudonymise(docs, "k").collect()}
     for i, (head, value) in enumerate(CASES):
         r = rows[i]
         assert [x.original for x in r.pii] == [head + value]
