@@ -272,7 +272,7 @@ def test_toxicity(spark):
 
 
 def test_warc_reader_checks():
-    good = warc.record(1, "http://a", b"xyz", warc.digest(b"xyz"), None, "response")
+    good = warc.record(1, "http://a", 3, b"xyz", warc.digest(b"xyz"), None, "response")
     assert warc.parse(good)[1] == b"xyz"
     for bad in (good[:-1], good.replace(b"WARC/1.1", b"HTTP/1.1"), good.replace(b"Content-Length: 3", b"Content-Length: 4"), good.replace(b"xyz", b"xya"), good.replace(b"WARC-Date", b"X-Date")):
         with pytest.raises(ValueError):
