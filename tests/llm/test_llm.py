@@ -197,7 +197,7 @@ def test_rarest_token_index():
     f = urlfilter.UrlFilter(counts={"ads": 100, "track": 3})
     assert "track" in f.by_token and "ads" not in f.by_token
     for u in ("http://ads-track.example.org/", "http://x/wp-login.php", "http://a/?ref=spam", "http://clean/"):
-        assert f.matched(u) == any(re.search(r.regex, u) for r in urlfilter.PATTERN_RULES)
+        assert bool(f.matched(u)) == any(re.search(r.regex, u) for r in urlfilter.PATTERN_RULES)
 
 
 def test_pii(spark, odd):
