@@ -3,7 +3,7 @@
 Byte 2- and 3-grams of the lower-cased letters are hashed to DIM features, as frequencies. A softmax model predicts the
 language family; within it one-versus-one linear support vector machines separate the languages. All models are linear in
 the mean of a text's gram features, so a whole text is scored in one pass over its bytes. Models are fitted on the driver
-on a sample of about PER_LANG labelled texts of each language.
+on a sample of about PER_LANG labelled texts of each language, whose features are kept sparse.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_buffers
+from .common import slices, text_buffers, without
 
 DIM, SCALE, PER_LANG = 8192, 40.0, 400
 UNKNOWN = "und"
@@ -75,32 +75,60 @@ def mean_outputs(texts: pa.Array, weights: np.ndarray) -> np.ndarray:
     return SCALE * out / np.maximum(n, 1)[:, None]
 
 
-def svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, epochs: int = 12) -> np.ndarray:
-    """Weights and bias (last) of a linear support vector machine, by dual coordinate descent; y: -1 or 1."""
-    rng, alpha, w, b = np.random.default_rng(1), np.zeros(len(y)), np.zeros(x.shape[1], np.float32), 0.0
-    norm = (x * x).sum(1) + 1
+class Sparse:
+    """Rows of DIM features: the feature numbers and values of all rows, and where each row begins."""
+
+    def __init__(self, at: list[np.ndarray], value: list[np.ndarray]):
+        sizes = np.fromiter(map(len, at), np.int64, len(at))
+        self.starts = np.concatenate([[0], np.cumsum(sizes)])
+        self.at = np.concatenate([*at, np.empty(0, np.int64)]).astype(np.int64)
+        self.value = np.concatenate([*value, np.empty(0, np.float32)]).astype(np.float32)
+        self.row = np.repeat(np.arange(len(at)), sizes)
+
+    def __len__(self) -> int:
+        return len(self.starts) - 1
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        """The rows' products with one vector of weights."""
+        return np.bincount(self.row, weights=self.value * w[self.at], minlength=len(self))
+
+    def back(self, y: np.ndarray) -> np.ndarray:
+        """The features' products with one number for each row."""
+        return np.bincount(self.at, weights=self.value * y[self.row], minlength=DIM)
+
+    def norms(self) -> np.ndarray:
+        return np.bincount(self.row, weights=self.value**2, minlength=len(self))
+
+
+def svm(x: Sparse, rows: np.ndarray, y: np.ndarray, c: float = 10.0, epochs: int = 12) -> np.ndarray:
+    """Weights and bias (last) of a linear support vector machine on some rows, by dual coordinate descent; y: -1 or 1."""
+    rng, alpha, w, b = np.random.default_rng(1), np.zeros(len(y)), np.zeros(DIM), 0.0
+    norm = x.norms()[rows] + 1
+    spans = [(x.at[i:j], x.value[i:j]) for i, j in zip(x.starts[rows].tolist(), x.starts[rows + 1].tolist())]
     for _ in range(epochs):
         for i in rng.permutation(len(y)):
-            a = min(max(alpha[i] - (y[i] * (x[i] @ w + b) - 1) / norm[i], 0), c)
+            at, value = spans[i]
+            a = min(max(alpha[i] - (y[i] * (value @ w[at] + b) - 1) / norm[i], 0), c)
             if a != alpha[i]:
                 step = (a - alpha[i]) * y[i]
-                w += np.float32(step) * x[i]
+                w[at] += step * value
                 b += step
                 alpha[i] = a
     return np.append(w, b)
 
 
-def softmax_model(x: np.ndarray, y: np.ndarray, classes: int, steps: int = 80) -> np.ndarray:
-    """(features + 1) x classes weights of multinomial regression, by accelerated gradient descent."""
-    w = v = np.zeros((x.shape[1] + 1, classes), np.float32)
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    rate, target = 4.0 / (1 + float((x * x).sum(1).mean())), np.eye(classes, dtype=np.float32)[y]
+def softmax_model(x: Sparse, y: np.ndarray, classes: int, steps: int = 80) -> np.ndarray:
+    """(DIM + 1) x classes weights of multinomial regression, by accelerated gradient descent."""
+    w = v = np.zeros((DIM + 1, classes))
+    rate, target = 4.0 / (2 + float(x.norms().mean())), np.eye(classes)[y]
     for t in range(steps):
-        z = x @ v
+        z = np.stack([x.times(v[:-1, j]) for j in range(classes)], 1) + v[-1]
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        new = v - np.float32(rate) * (x.T @ (p - target) / np.float32(len(x)) + np.float32(1e-5) * v)
-        v, w = new + np.float32(t / (t + 3)) * (new - w), new
+        off = (p - target) / len(x)
+        g = np.vstack([np.stack([x.back(off[:, j]) for j in range(classes)], 1), off.sum(0)])
+        new = v - rate * (g + 1e-5 * v)
+        v, w = new + t / (t + 3) * (new - w), new
     return w
 
 
@@ -111,7 +139,7 @@ def _sigmoid_scale(margin: np.ndarray, y: np.ndarray) -> float:
 
 
 class LanguageModel:
-    def __init__(self, x: np.ndarray, langs: list[str]):
+    def __init__(self, x: Sparse, langs: list[str]):
         self.langs = sorted(set(langs))
         family = [_FAMILY.get(code, code) for code in self.langs]
         self.families = sorted(set(family))
@@ -122,10 +150,10 @@ class LanguageModel:
         self.pairs = [(a, b) for m in self.members for a, b in combinations(m, 2)]
         self.scale = []
         for a, b in self.pairs:
-            on = (y == a) | (y == b)
+            on = np.flatnonzero((y == a) | (y == b))
             sign = np.where(y[on] == a, 1.0, -1.0)
-            w = svm(x[on], sign)
-            self.scale.append(_sigmoid_scale(x[on] @ w[:-1] + w[-1], sign))
+            w = svm(x, on, sign)
+            self.scale.append(_sigmoid_scale(x.times(w[:-1])[on] + w[-1], sign))
             parts.append(w[:, None])
         self.weights = np.hstack(parts).astype(np.float32) if parts else np.zeros((DIM + 1, 0), np.float32)
 
@@ -162,13 +190,15 @@ def id_remainder(id_col: str, k: int) -> Column:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", learn: Column | None = None, per_lang: int = PER_LANG) -> LanguageModel:
-    """Fits on about per_lang rows of each language (a sample by hash of id and text) among those where learn holds."""
+    """Fits on about per_lang rows of each language (a sample by hash of id and length) among those where learn holds.
+
+    Every language that any such row names is learned. A table without one gives a model that says UNKNOWN.
+    """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (learn if learn is not None else F.lit(True)))
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(500).collect()}
-    if not counts:
-        return LanguageModel(np.empty((0, DIM), np.float32), [])
-    share = F.element_at(F.create_map(*[F.lit(x) for code, n in counts.items() for x in (code, min(1.0, per_lang / n))]), F.col(lang_col))
-    picked = rows.where(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.length(text_col)), F.lit(1 << 20)) < share * (1 << 20))
+    slim = rows.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    counts = slim.groupBy("lang").agg(F.count("*").alias("n")).withColumnRenamed("lang", "l")  # a row for each language
+    drawn = F.pmod(F.xxhash64("id", F.length("text")), F.lit(1 << 20)) * F.col("n") < per_lang * (1 << 20)
+    picked = slim.join(counts, F.col("lang") == F.col("l")).where(drawn)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,16 +209,19 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 rows = [np.round(1e6 * r / max(r.sum(), 1)).astype(np.int32) for r in rows]
                 yield pa.RecordBatch.from_arrays([pa.array([np.flatnonzero(r).astype(np.int16).tobytes() for r in rows], pa.binary()), pa.array([r[r > 0].tobytes() for r in rows], pa.binary()), part.column(1)], ["at", "value", "lang"])
 
-    got = picked.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).mapInArrow(run, "at binary, value binary, lang string").collect()
+    got = picked.select("text", "lang").mapInArrow(run, "at binary, value binary, lang string").collect()
     got.sort(key=lambda r: (r["lang"], bytes(r["at"]), bytes(r["value"])))
-    x = np.zeros((len(got), DIM), np.float32)
-    for i, r in enumerate(got):
-        x[i, np.frombuffer(r["at"], np.int16)] = np.frombuffer(r["value"], np.int32) * np.float32(SCALE / 1e6)
+    x = Sparse([np.frombuffer(r["at"], np.int16) for r in got], [np.frombuffer(r["value"], np.int32) * np.float32(SCALE / 1e6) for r in got])
     return LanguageModel(x, [r["lang"] for r in got])
 
 
 def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
-    """docs with the predicted language of each whole text, UNKNOWN where it is null or has no letter, and a score from 0 to 1."""
+    """docs with the predicted language of each whole text, UNKNOWN where it is null or has no letter, and a score from 0 to 1.
+
+    Columns of docs called lang_name or score_name give way to the result's; others, whatever their names, stay. Repeated rows
+    and null ids each keep their row, texts of any length are read whole, and an empty table gives no rows.
+    """
+    docs = without(docs, lang_name, score_name)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # at most DIM weights for each pair of languages
     schema = docs.withColumn(lang_name, F.lit("")).withColumn(score_name, F.lit(0.0)).schema
     at = docs.columns.index(text_col)
