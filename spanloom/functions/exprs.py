@@ -30,6 +30,12 @@ def line_slice(t: Column, first: int, last: int) -> Column:
     return F.array_join(F.slice(lines(t), first, last - first + 1), "\n")
 
 
+def byte_slice(t: Column, start: Column, end: Column) -> Column:
+    """The text of the bytes start .. end - 1; null where they end beyond the text's, or part a character."""
+    part = t.cast("binary").substr((start + 1).cast("int"), (end - start).cast("int")).cast("string")
+    return F.when((start >= 0) & (start <= end) & (end <= F.octet_length(t)) & F.is_valid_utf8(part), part)
+
+
 def ascii_lower(t: Column) -> Column:
     return F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

@@ -233,13 +233,7 @@ def apply_edits(files: DataFrame, ops: DataFrame) -> DataFrame:
 
 def render_patch(files: DataFrame, edited: DataFrame, context: int = 3) -> DataFrame:
     """(file, patch): unified diffs between files and edited, for those that differ and have no problems."""
-    both = edited.where("content is not null").select("file", F.col("content").alias("new")).join(files.select("file", F.col("content").alias("old")), "file").where("old <> new")
+    from . import diffs
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import difflib
-
-        for batch in batches:
-            out = [(f, "\n".join(difflib.unified_diff(text_lines(a), text_lines(b), f"a/{f}", f"b/{f}", n=context, lineterm=""))) for f, a, b in zip(batch["file"], batch["old"], batch["new"])]
-            yield pd.DataFrame(out, columns=["file", "patch"])
-
-    return both.select("file", "old", "new").mapInPandas(run, "file string, patch string")
+    both = edited.where("content is not null").select("file", F.col("content").alias("new")).join(files.select("file", F.col("content").alias("old")), "file")
+    return diffs.diff(both, context).select("file", "patch").where("patch <> ''")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,14 +34,15 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 def jaccard_pairs(docs: DataFrame, threshold: float = 0.7, n: int = 4, apart: str | None = None) -> DataFrame:
     """(a, b, jaccard) for pairs of distinct texts, a and b the least ids of theirs, from shared shingles.
 
-    apart: a boolean column; rows where it holds stand for themselves alone.
+    apart: a boolean column; rows where it holds stand for themselves alone. Sets are stored once, in the shared folder.
 
     Prefix filter: a pair over the threshold shares one of the first (1 - threshold) |set| + 1 shingles in the order of
     corpus frequency, rarest first, so common shingles never join.
     """
     own = F.when(F.col(apart), F.col("doc_id")) if apart else F.lit(None).cast("int")
     sets = docs.select("doc_id", own.alias("own"), X.shingles(X.words(F.col("text")), n).alias("s")).where(F.size("s") > 0)
-    sets = sets.groupBy(F.sha2(F.array_join(F.array_sort("s"), "\n"), 256).alias("h"), "own").agg(F.min(F.struct("doc_id", "s")).alias("m")).select(F.col("m.doc_id").alias("doc_id"), F.transform("m.s", lambda x: F.xxhash64(x)).alias("s"))
+    sets = sets.groupBy(F.sha2(F.array_join(F.array_sort("s"), "\n"), 256).alias("h"), "own").agg(F.min(F.struct("doc_id", F.transform("s", lambda x: F.xxhash64(x)).alias("s"))).alias("m"))
+    sets = lineage.cut(sets.select(F.col("m.doc_id").alias("doc_id"), F.col("m.s").alias("s")))
     each = sets.select("doc_id", F.size("s").alias("n"), F.explode("s").alias("g"))
     freq = each.groupBy("g").agg(F.count("*").alias("df"))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "g"))
@@ -72,40 +74,94 @@ def doc_freq(docs: DataFrame) -> DataFrame:
 
 
 def novelty(docs: DataFrame, top: int = 16) -> DataFrame:
-    """(doc_id, novelty): the mean of a text's `top` highest inverse document frequencies, as a share of the highest there is."""
-    df = doc_freq(docs)
+    """(doc_id, novelty): the mean of a text's `top` highest inverse document frequencies, as a share of the highest there is.
+
+    Occurrences count, so a term that comes twice takes two of the places. Where all terms are in all texts novelty is 0.
+    """
+    each = docs.select("doc_id", F.explode(terms(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    each = lineage.cut(each)  # a row for each term of a text, for both uses
+    df = each.groupBy("term").agg(F.count("*").alias("df"))
     stats = df.agg(F.min("df").alias("least")).crossJoin(docs.agg(F.count("*").alias("n")))  # one row
-    each = docs.select("doc_id", F.explode(terms(F.col("text"))).alias("term")).join(df, "term")
-    w = Window.partitionBy("doc_id").orderBy("df", "term")
-    best = each.withColumn("r", F.row_number().over(w)).where(F.col("r") <= top).crossJoin(F.broadcast(stats))
-    mean = best.groupBy("doc_id").agg(F.avg(F.log(F.col("n") / F.col("df")) / F.log(F.col("n") / F.col("least"))).alias("novelty"))
+    w = Window.partitionBy("doc_id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = each.join(df, "term").withColumn("before", F.coalesce(F.sum("tf").over(w), F.lit(0))).where(F.col("before") < top)
+    taken = F.least(F.col("tf"), top - F.col("before"))
+    high = F.log(F.col("n") / F.col("least"))
+    one = F.when(F.col("n") > F.col("least"), F.log(F.col("n") / F.col("df")) / high).otherwise(0.0)
+    mean = ranked.crossJoin(F.broadcast(stats)).groupBy("doc_id").agg((F.sum(taken * one) / F.sum(taken)).alias("novelty"))
     return docs.select("doc_id").join(mean, "doc_id", "left").select("doc_id", F.coalesce("novelty", F.lit(0.0)).alias("novelty"))
 
 
 def budget_fit(items: DataFrame, budget: int | dict[str, int], key: str = "bucket") -> DataFrame:
-    """(key, id, tokens, pos): in each bucket items by priority, each taken if it still fits, else passed over.
+    """(key, id, tokens, pos): in each bucket the items that fit, with the tokens each may have.
 
-    budget: one for every bucket, or each bucket's own. Priority is by level, relevance and, where there is one, proximity.
+    budget: one for every bucket, or each bucket's own. Order is by level, relevance and, where there is one, proximity, then
+    id. Items with hard (a boolean column, if there is one) come first: each reserves min_tokens (a column, if there is one), at
+    least one. Then the others: an item that still fits is taken whole, one with min_tokens that fit is cut to them, else it is
+    passed over. If a hard item finds no room, none but hard items stay. What is left goes to the hard items, in order, up to
+    their whole tokens. Ids are unique in a bucket.
 
-    The fold is sequential by definition; what can never fit is dropped before, and a bucket is one request's items.
+    What room there is only falls, so of items of one size those taken are the first in order, and no more than the budget has
+    room for. The others are dropped before the fold, so a task holds some budget * log(budget) rows of each kind, not a bucket.
     """
-
     by = [c for c in ("level", "relevance", "proximity") if c in items.columns]
+    order = [*[F.desc(c) for c in by], F.asc("id")]
+    room = F.element_at(F.create_map(*[F.lit(x) for kv in budget.items() for x in kv]), F.col(key)) if isinstance(budget, dict) else F.lit(budget)
+    hard = F.coalesce(F.col("hard"), F.lit(False)) if "hard" in items.columns else F.lit(False)
+    least = F.coalesce(F.col("min_tokens"), F.lit(0)).cast("long") if "min_tokens" in items.columns else F.lit(0).cast("long")
+    slim = items.select(key, "id", F.col("tokens").cast("long").alias("tokens"), *by, hard.alias("hard"), F.when(hard, F.greatest(least, F.lit(1))).otherwise(least).alias("least"), room.cast("long").alias("room"))
+    need = F.when(F.col("hard"), F.col("least")).when((F.col("least") > 0) & (F.col("least") < F.col("tokens")), F.col("least")).otherwise(F.col("tokens"))
+    # a hard item that needs more than there is still says that one has no room
+    slim = slim.withColumn("need", need).where("need <= room or hard")
+    rank = F.row_number().over(Window.partitionBy(key, "hard", "tokens", "least").orderBy(*order))
+    most = max(budget.values(), default=0) if isinstance(budget, dict) else budget
+    some = slim.where("tokens > 0").withColumn("nth", rank).where(F.col("nth") <= most + 1).where((F.col("nth") - 1) * F.least("need", "tokens") <= F.col("room"))
+    held = some.drop("nth").unionByName(slim.where("tokens <= 0"))  # empty items take no room
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values([*by, "id"], ascending=[*(False for _ in by), True], kind="stable")
-        left, keep = budget[rows[key].iloc[0]] if isinstance(budget, dict) else budget, []
-        for t in rows.tokens:
-            ok = t <= left
-            left -= t if ok else 0
-            keep.append(ok)
-        out = rows[keep]
-        return pd.DataFrame({key: out[key], "id": out.id, "tokens": out.tokens, "pos": range(1, len(out) + 1)})
+        left, given, missing = int(rows.room.iloc[0]), [], False
+        for i, (t, m, firm) in enumerate(zip(rows.tokens.tolist(), rows.least.tolist(), rows.hard.tolist())):
+            if firm:
+                missing |= m > left
+                if m <= left:
+                    given.append((i, min(t, m)))
+                    left -= min(t, m)
+        firm_count = len(given)
+        if not missing:
+            for i, (t, m, firm) in enumerate(zip(rows.tokens.tolist(), rows.least.tolist(), rows.hard.tolist())):
+                take = -1 if firm else t if t <= left else m if 0 < m <= left else -1
+                if take >= 0:
+                    given.append((i, take))
+                    left -= take
+                if take >= 0 and take < t and left == 0:
+                    break
+        for j in range(firm_count):
+            i, n = given[j]
+            more = min(left, int(rows.tokens.iloc[i]) - n)
+            given[j], left = (i, n + more), left - more
+        at = [i for i, _ in given]
+        return pd.DataFrame({key: rows[key].iloc[at].to_numpy(), "id": rows.id.iloc[at].to_numpy(), "tokens": [n for _, n in given], "pos": range(1, len(at) + 1)})
 
-    room = F.element_at(F.create_map(*[F.lit(x) for kv in budget.items() for x in kv]), F.col(key)) if isinstance(budget, dict) else F.lit(budget)
-    slim = items.where(F.col("tokens") <= room).select(key, "id", "tokens", *by)
     kind = dict(slim.dtypes)
-    return slim.groupBy(key).applyInPandas(fold, f"{key} {kind[key]}, id {kind['id']}, tokens long, pos long")
+    return held.groupBy(key).applyInPandas(fold, f"{key} {kind[key]}, id {kind['id']}, tokens long, pos long")
+
+
+def trim_tail(items: DataFrame, most: int, key: str = "bucket") -> DataFrame:
+    """items (key, id, tokens) of each bucket up to `most` tokens: the smallest go first, of equal ones the least id."""
+    w = Window.partitionBy(key).orderBy(F.desc("tokens"), F.desc("id")).rowsBetween(Window.unboundedPreceding, 0)
+    return items.withColumn("__sum", F.sum("tokens").over(w)).where(F.col("__sum") <= most).drop("__sum")
+
+
+def overflow(items: DataFrame, caps_total: int, tolerance: float = 0.05) -> tuple[DataFrame, DataFrame]:
+    """Of items (id, tokens) of all buckets, those within the sum of caps and a tolerance, and refusals (id, bucket, reason) of the others.
+
+    Items go by id, the least first, until the rest fits. All buckets together are no more than the caps let in, so one task sums them.
+    """
+    most = caps_total + int(caps_total * tolerance)
+    w = Window.orderBy(F.desc("id")).rowsBetween(Window.unboundedPreceding, 0)
+    summed = items.withColumn("__sum", F.sum("tokens").over(w))
+    gone = summed.where(F.col("__sum") > most).select("id", F.lit("mixed").alias("bucket"), F.lit("budget-overflow").alias("reason"))
+    return summed.where(F.col("__sum") <= most).drop("__sum"), gone
 
 
 def refusals(items: DataFrame, fitted: DataFrame, cap: int, key: str = "bucket") -> DataFrame:
@@ -133,7 +189,8 @@ def bucketed_fit(items: DataFrame, caps: dict[str, int], novelty_least: float |
     """(fitted, refused) of items (id, content, tokens, level, relevance, tags): each bucket filled up to its cap.
 
     An item's bucket is tests, else interfaces, else code by its tags. With novelty_least, less novel items are refused first,
-    by document frequencies of all items. refused: (id, bucket, reason). No bucket passes its cap, so the whole is within the sum.
+    by document frequencies of all items. refused: (id, bucket, reason). Buckets come as code, interfaces, tests, and within
+    each in the order of budget_fit(). What is over the sum of caps and 5 % is refused as budget-overflow.
     """
     bucket = F.lit("code")
     for tag, name in reversed(BUCKET_TAGS):
@@ -146,11 +203,20 @@ def bucketed_fit(items: DataFrame, caps: dict[str, int], novelty_least: float |
         low = F.col("novelty") < novelty_least
         dull = placed.where(low).select("id", "bucket", F.format_string("novelty-floor<%.2f", F.lit(float(novelty_least))).alias("reason"))
         placed = placed.where(~low)
-    fitted = budget_fit(placed, caps)
+    fitted = trim_caps(budget_fit(placed, caps), caps)
     refused = placed.join(fitted.select("id", "bucket"), ["id", "bucket"], "left_anti").select("id", "bucket", F.lit("bucket-cap-exceeded").alias("reason"))
+    fitted, over = overflow(fitted, sum(caps.values()))
+    refused = refused.unionByName(over)
     return fitted, refused if dull is None else dull.unionByName(refused)
 
 
+def trim_caps(fitted: DataFrame, caps: dict[str, int]) -> DataFrame:
+    """trim_tail() of each bucket to its cap; those within it, as budget_fit() leaves them, stay as they are."""
+    room = F.element_at(F.create_map(*[F.lit(x) for kv in caps.items() for x in kv]), F.col("bucket"))
+    w = Window.partitionBy("bucket").orderBy(F.desc("tokens"), F.desc("id")).rowsBetween(Window.unboundedPreceding, 0)
+    return fitted.withColumn("__sum", F.sum("tokens").over(w)).where(F.col("__sum") <= room).drop("__sum")
+
+
 def representatives(items: DataFrame, threshold: float = 0.7, preserve: str | None = None) -> DataFrame:
     """items (id, content, level, relevance, proximity) without copies and near-copies: in order of priority an item stays unless one that stays is like it.
 
@@ -190,18 +256,38 @@ def token_chunks(docs: DataFrame, most: int = 128, overlap: int = 32) -> DataFra
 
 def greedy_pack(rows: DataFrame, most: int, key: str, order: str) -> DataFrame:
     """(key, order, tokens, pack): consecutive rows of a key share a pack while its tokens fit."""
-    folded = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, "tokens"))).alias("rows"))
-    start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).cast("long").alias("pack"), F.array().cast("array<bigint>").alias("packs"))
+    return _packed(rows, most, key, order, False).drop("big")
+
+
+def greedy_pack_breaking(rows: DataFrame, most: int, key: str, order: str) -> DataFrame:
+    """greedy_pack() with big: a row that is over `most` by itself has a pack of its own."""
+    return _packed(rows, most, key, order, True)
+
+
+def _packed(rows: DataFrame, most: int, key: str, order: str, alone: bool) -> DataFrame:
+    """A key's rows pass through one task in order, which keeps a sum and a number only."""
+    kind = dict(rows.dtypes)
 
-    def step(s, r):
-        over = (s["sum"] + r["tokens"] > most) & (s["sum"] > 0)
-        pack = s["pack"] + over.cast("long")
-        return F.struct(F.when(over, r["tokens"]).otherwise(s["sum"] + r["tokens"]).alias("sum"), pack.alias("pack"), F.concat(s["packs"], F.array(pack)).alias("packs"))
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total, pack, held, begun = None, 0, 0, False, False
+        for batch in batches:
+            packs, big = [], []
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if not begun or k != now:
+                    now, total, pack, held, begun = k, 0, 0, False, True
+                big.append(alone and t > most)
+                if held and (total + t > most or big[-1]) and (alone or total > 0):
+                    total, pack, held = 0, pack + 1, False
+                packs.append(pack)
+                total, held = total + t, True
+                if big[-1]:
+                    total, pack, held = 0, pack + 1, False
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(packs, pa.int64()), pa.array(big, pa.bool_())], [key, order, "tokens", "pack", "big"])
 
-    packs = folded.withColumn("packs", F.aggregate("rows", start, step)["packs"])
-    return packs.select(key, F.explode(F.arrays_zip("rows", "packs")).alias("z")).select(key, F.col(f"z.rows.{order}").alias(order), F.col("z.rows.tokens").alias("tokens"), F.col("z.packs").alias("pack"))
+    sorted_ = rows.select(key, order, F.col("tokens").cast("long").alias("tokens")).repartition(key).sortWithinPartitions(key, order)
+    return sorted_.mapInArrow(fold, f"{key} {kind[key]}, {order} {kind[order]}, tokens long, pack long, big boolean")
 
 
 def scoreboard(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """cef (baseline for each actual token) and dcr (distinct items of all) by keys."""
-    return rows.groupBy(*keys).agg(F.sum("actual").alias("actual"), F.sum("baseline").alias("baseline"), F.count("*").alias("items"), F.countDistinct("item").alias("distinct_items")).withColumns({"cef": F.when(F.col("actual") == 0, 0.0).otherwise(F.col("baseline") / F.col("actual")), "dcr": F.col("distinct_items") / F.col("items")})
+    """cef (baseline for each actual token) and dcr (the share of items that are repeats) by keys."""
+    return rows.groupBy(*keys).agg(F.sum("actual").alias("actual"), F.sum("baseline").alias("baseline"), F.count("*").alias("items"), F.countDistinct("item").alias("distinct_items")).withColumns({"cef": F.when(F.col("actual") == 0, 0.0).otherwise(F.col("baseline") / F.col("actual")), "dcr": 1.0 - F.col("distinct_items") / F.col("items")})

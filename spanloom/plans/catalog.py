@@ -15,7 +15,8 @@ from ..functions import exprs as X
 from ..operators import edits, fit, govern, logs, retrieve, symbols
 
 _Q: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
-TERMS = ["ring", "red widget", "small", "bolt blue", "gear"]
+TERMS = ["ring", "red widget", "small", "bolt blue", "gear", "economy::1", "promo 7"]
+HISTORY = [f"{kind}::7" for kind in ("ECONOMY", "SMALL", "MEDIUM", "PROMO", "STANDARD", "LARGE")]
 
 
 def _query(sql: str | None):
@@ -27,10 +28,13 @@ def _query(sql: str | None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import requests  # noqa: F401  registers the others
+
     return {k: f for k, (f, _) in _Q.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return {k: sql for k, (_, sql) in _Q.items() if sql}
 
 
@@ -71,7 +75,7 @@ def token_counts(spark, d):
 
 
 def _symbols(spark, d):
-    return _t(spark, d, "part").select(F.col("p_name").alias("name"), F.col("p_brand").alias("file"), F.col("p_size").alias("start_line"), F.col("p_partkey").cast("string").alias("qualified_name"))
+    return _t(spark, d, "part").select(F.col("p_name").alias("name"), F.concat(F.lit("src/"), "p_brand").alias("file"), F.col("p_size").alias("start_line"), F.concat_ws("::", "p_type", "p_partkey").alias("qualified_name"))
 
 
 def _values(terms):
@@ -79,18 +83,18 @@ def _values(terms):
 
 
 _LOOKUP = f"""WITH q(query) AS (VALUES {_values(TERMS)}),
-c AS (SELECT query, p_name AS name, p_brand AS file, p_size AS start_line, CAST(p_partkey AS VARCHAR) AS qualified_name FROM part, q
- WHERE contains(lower(p_name), lower(query)) OR len(list_filter(regexp_extract_all(lower(query), '[a-z0-9]+'), lambda t: NOT contains(lower(p_name), t))) = 0),
+n AS (SELECT p_name AS name, 'src/' || p_brand AS file, p_size AS start_line, p_type || '::' || p_partkey AS qualified_name FROM part), w AS (SELECT query, regexp_extract_all(lower(query), '[a-z0-9]+') AS w FROM q),
+c AS (SELECT query, n.* FROM n, w WHERE starts_with(file, 'src/') OR contains(lower(name), lower(query)) OR contains(lower(qualified_name), lower(query)) OR len(list_filter(w, lambda t: NOT contains(lower(name), t))) = 0 OR len(list_filter(w, lambda t: NOT contains(lower(qualified_name), t))) = 0),
 s AS (SELECT *, CASE WHEN lower(name) = query THEN 3 WHEN length(query) >= 2 AND starts_with(lower(name), query) THEN 2 WHEN list_contains(regexp_split_to_array(lower(name), '[^A-Za-z0-9]'), query) THEN 1 ELSE 0 END AS semantic,
- CASE WHEN starts_with(file, 'Brand#1') THEN 1 ELSE 0 END AS scope,
- CASE WHEN file <> 'Brand#11' THEN 0 WHEN abs(start_line - 10) <= 20 THEN 2 WHEN abs(start_line - 10) <= 100 THEN 1 ELSE 3 END AS proximity, CASE WHEN qualified_name IN ('7', '70') THEN 1 ELSE 0 END AS history FROM c),
+ CASE WHEN starts_with(file, 'src/Brand#1') THEN 1 ELSE 0 END AS scope,
+ CASE WHEN file <> 'src/Brand#11' THEN 0 WHEN abs(start_line - 10) <= 20 THEN 2 WHEN abs(start_line - 10) <= 100 THEN 1 ELSE 3 END AS proximity, CASE WHEN list_contains({HISTORY}, qualified_name) THEN 1 ELSE 0 END AS history FROM c),
 r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY semantic DESC, scope DESC, proximity DESC, history DESC, file, start_line, qualified_name) AS rank FROM s)"""
 
 
 @_query(_LOOKUP + " SELECT query, name, file, qualified_name, semantic, scope, proximity, history, CAST(rank AS INT) AS rank FROM r WHERE rank <= 8")
 def symbol_lookup_topk(spark, d):
     q = spark.createDataFrame([(t,) for t in TERMS], "query string")
-    out = retrieve.lookup(_symbols(spark, d), q, 8, "Brand#11", 10, "Brand#1", ["7", "70"])
+    out = retrieve.lookup(_symbols(spark, d), q, 8, "src/Brand#11", 10, "src/Brand#1", HISTORY)
     return out.select("query", "name", "file", "qualified_name", "semantic", "scope", "proximity", "history", "rank")
 
 
@@ -173,7 +177,7 @@ def doc_freq(spark, d):
 _NOVELTY = f"""WITH e AS (SELECT doc_id, unnest({_TERMS_SQL}) AS term FROM documents), f AS (SELECT term, count(DISTINCT doc_id) AS df FROM e GROUP BY term),
 s AS (SELECT min(df) AS least, (SELECT count(*) FROM documents) AS n FROM f),
 r AS (SELECT doc_id, df, row_number() OVER (PARTITION BY doc_id ORDER BY df, term) AS r FROM e JOIN f USING (term)),
-m AS (SELECT doc_id, avg(ln(n / df) / ln(n / least)) AS v FROM r, s WHERE r <= 16 GROUP BY doc_id),
+m AS (SELECT doc_id, avg(CASE WHEN n > least THEN ln(n / df) / ln(n / least) ELSE 0 END) AS v FROM r, s WHERE r <= 16 GROUP BY doc_id),
 v AS (SELECT d.doc_id, coalesce(v, 0.0) AS novelty FROM documents d LEFT JOIN m USING (doc_id))"""
 
 
@@ -230,17 +234,29 @@ def asof_owner(spark, d):
     return retrieve.owner_asof(e, "user_id", ["ts", "event_id"], F.col("event_type") == "purchase", F.col("event_id")).select("event_id", "owner")
 
 
+@_query("""WITH x AS (SELECT event_id, user_id, hour(ts) AS line, event_id AS n, event_type = 'purchase' AS own FROM events),
+o AS (SELECT *, last_value(CASE WHEN own THEN struct_pack(o := event_id, a := line) END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY line, n ROWS UNBOUNDED PRECEDING) AS b,
+ first_value(CASE WHEN own THEN struct_pack(o := event_id, a := line) END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY line, n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS a FROM x)
+SELECT event_id, coalesce(CASE WHEN line - b.a <= 2 THEN b.o END, CASE WHEN a.a - line <= 2 THEN a.o END) AS owner FROM o""")
+def asof_owner_within(spark, d):
+    e = _t(spark, d, "events").select("event_id", "user_id", F.hour("ts").alias("line"), "event_type")
+    return retrieve.owner_asof(e, "user_id", ["line", "event_id"], F.col("event_type") == "purchase", F.col("event_id"), 2).select("event_id", "owner")
+
+
 _BOOST = """WITH i AS (SELECT event_id AS id, user_id AS file, hour(ts) AS s, hour(ts) + 1 AS e FROM events), x AS (SELECT user_id AS file, hour(ts) AS line, CASE WHEN value > 90 THEN 3.0::FLOAT WHEN value > 50 THEN 1.5::FLOAT ELSE 1.0::FLOAT END AS w FROM events),
 b AS (SELECT id, CAST(sum(CAST(least(w / CAST(1 + greatest(s - line, line - e, 0) AS FLOAT), 2.0::FLOAT) AS DOUBLE)) AS FLOAT) AS boost FROM i JOIN x USING (file) GROUP BY id)
 SELECT id, CAST(boost AS DOUBLE) AS boost FROM b"""
+_RAISED = _BOOST.rsplit("SELECT id,", 1)[0] + """, m AS (SELECT id, boost, least(1.0::FLOAT + 0.15::FLOAT * boost, 1.5::FLOAT) AS m, least(0.05::FLOAT * boost, 0.5::FLOAT) AS a FROM b)
+SELECT id, CAST(boost AS DOUBLE) AS boost, CAST(floor(least(100::FLOAT * m + a * 255.0::FLOAT, 255.0::FLOAT)) AS INT) AS level, round(CAST(least(0.7::FLOAT * m + a * 0.1::FLOAT, 1.0::FLOAT) AS DOUBLE), 5) AS relevance, round(CAST(least(0.5::FLOAT * m + a * 0.1::FLOAT, 1.0::FLOAT) AS DOUBLE), 5) AS proximity FROM m"""
 
 
-@_query(_BOOST)
+@_query(_RAISED)
 def signal_boost(spark, d):
     e = _t(spark, d, "events")
     f = lambda x: F.lit(x).cast("float")
     items = e.select(F.col("event_id").cast("string").alias("id"), F.col("user_id").alias("file"), F.hour("ts").alias("start"), (F.hour("ts") + 1).alias("end"), F.lit(100).alias("level"), f(0.7).alias("relevance"), f(0.5).alias("proximity"))
-    return retrieve.signal_boost(items, _signals(spark, d)).select(F.col("id").cast("long").alias("id"), F.col("boost").cast("double").alias("boost"))
+    out = retrieve.signal_boost(items, _signals(spark, d))
+    return out.select(F.col("id").cast("long").alias("id"), F.col("boost").cast("double").alias("boost"), "level", *[F.round(F.col(c).cast("double"), 5).alias(c) for c in ("relevance", "proximity")])
 
 
 @_query("""WITH e AS (SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem UNION SELECT DISTINCT 's' || l_suppkey, 'p' || l_partkey FROM lineitem),
@@ -297,14 +313,6 @@ def retention(spark, d):
     return govern.retention(_index(spark, d), 3, "1993-01-01").select("id", "owner", "nth")
 
 
-@_query("""WITH b AS (SELECT s_suppkey AS path, s_nationkey AS x FROM supplier), c AS (SELECT c_custkey + 5 AS path, c_nationkey AS x FROM customer WHERE c_custkey <= 100)
-SELECT path, CASE WHEN c.x IS NULL THEN 'missing' WHEN b.x IS NULL THEN 'new' ELSE 'changed' END AS state FROM b FULL JOIN c USING (path) WHERE b.x IS DISTINCT FROM c.x""")
-def restore_conflicts(spark, d):
-    b = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("path"), F.col("s_nationkey").alias("sum"))
-    c = _t(spark, d, "customer").where("c_custkey <= 100").select((F.col("c_custkey") + 5).alias("path"), F.col("c_nationkey").alias("sum"))
-    return govern.restore_conflicts(b, c)
-
-
 @_query("""WITH b AS (SELECT s_suppkey AS path, s_nationkey AS x FROM supplier), c AS (SELECT c_custkey + 5 AS path, c_nationkey AS x FROM customer)
 SELECT path, CASE WHEN c.x IS NULL THEN 'missing' WHEN b.x IS NULL THEN 'new' ELSE 'changed' END AS state FROM b FULL JOIN c USING (path) WHERE b.x IS DISTINCT FROM c.x""")
 def restore_conflicts_whole(spark, d):
@@ -327,7 +335,7 @@ def path_rollup(spark, d):
     return retrieve.path_rollup(_t(spark, d, "pages").select(p.alias("path"), X.line_count(F.col("html")).alias("lines")))
 
 
-@_query("""SELECT l_returnflag AS name, sum(CAST(l_quantity AS BIGINT)) AS actual, sum(CAST(l_linenumber AS BIGINT)) AS baseline, count(*) AS items, count(DISTINCT l_partkey) AS distinct_items, round(sum(CAST(l_linenumber AS BIGINT)) / sum(CAST(l_quantity AS BIGINT)), 9) AS cef, round(count(DISTINCT l_partkey) / count(*), 9) AS dcr FROM lineitem GROUP BY 1""")
+@_query("""SELECT l_returnflag AS name, sum(CAST(l_quantity AS BIGINT)) AS actual, sum(CAST(l_linenumber AS BIGINT)) AS baseline, count(*) AS items, count(DISTINCT l_partkey) AS distinct_items, round(sum(CAST(l_linenumber AS BIGINT)) / sum(CAST(l_quantity AS BIGINT)), 9) AS cef, round(1 - count(DISTINCT l_partkey) / count(*), 9) AS dcr FROM lineitem GROUP BY 1""")
 def scoreboard(spark, d):
     li = _t(spark, d, "lineitem").select(F.col("l_returnflag").alias("name"), F.col("l_quantity").cast("long").alias("actual"), F.col("l_linenumber").cast("long").alias("baseline"), F.col("l_partkey").alias("item"))
     return fit.scoreboard(li, ["name"]).withColumns({"cef": F.round("cef", 9), "dcr": F.round("dcr", 9)})
@@ -368,16 +376,6 @@ def symbols_of_sources(spark, d):
     return symbols.extract(rust.unionByName(python)).drop("lang", "qualified_name")
 
 
-@_query(f"""WITH x AS ({_SPANS}), p AS (SELECT p_partkey AS k, p_size AS line FROM part), b AS (SELECT k, max(struct_pack(s := s, e := e, id := id)) AS b FROM p JOIN x USING (k) WHERE s <= line AND line <= e GROUP BY k), n AS (SELECT k, count(*) AS n FROM x GROUP BY k)
-SELECT p.k AS point_id, CASE WHEN p.k % 10 = 0 THEN 'not_a_file' WHEN b.b IS NOT NULL THEN 'good' ELSE 'outside_scope' END AS status, CASE WHEN p.k % 10 <> 0 THEN b.b.id END AS name, CASE WHEN b.b IS NULL AND p.k % 10 <> 0 THEN CAST(least(coalesce(n, 0), 3) AS INT) END AS n_nearest FROM p LEFT JOIN b USING (k) LEFT JOIN n USING (k)""")
-def anchor_hints(spark, d):
-    points = _points(spark, d).withColumnRenamed("key", "file")
-    spans = _spans(spark, d).where("key % 10 <> 0").withColumnsRenamed({"id": "name", "key": "file"})
-    files = points.where("file % 10 <> 0").select("file")
-    out = retrieve.anchor_hints(points, spans, files)
-    return out.select("point_id", "status", "name", F.when(F.col("status") == "outside_scope", F.coalesce(F.size("nearest"), F.lit(0))).alias("n_nearest"))
-
-
 @_query(f"""WITH x AS ({_SPANS}), p AS (SELECT p_partkey AS id, p_partkey + 5 AS k, p_size AS line FROM part), f AS (SELECT p_partkey AS k, true AS there FROM part), b AS (SELECT k, max(struct_pack(s := s, e := e, id := x.id)) AS b FROM p JOIN x USING (k) WHERE s <= line AND line <= e GROUP BY k), n AS (SELECT k, count(*) AS n FROM x GROUP BY k)
 SELECT p.id AS point_id, CASE WHEN there IS NULL THEN 'not_a_file' WHEN b.b IS NOT NULL THEN 'good' ELSE 'outside_scope' END AS status, b.b.id AS name, CASE WHEN there AND b.b IS NULL THEN CAST(least(coalesce(n, 0), 3) AS INT) END AS n_nearest FROM p LEFT JOIN f USING (k) LEFT JOIN b USING (k) LEFT JOIN n USING (k)""")
 def anchor_hints_whole(spark, d):
@@ -403,8 +401,3 @@ def tree_drawn(spark, d):
 def representatives(spark, d):
     items = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.length("text").alias("level"), F.lit(1.0).alias("relevance"), F.lit(0.0).alias("proximity"))
     return fit.representatives(items).select(F.col("id").alias("doc_id"))
-
-
-@_query(None)
-def flagship(spark, d):
-    return context_fit(spark, d)

@@ -20,8 +20,10 @@ def _ask(spark, *queries):
 def test_context_fits_and_orders(spark, tree):
     files, found = tree
     assert found.count() == 401
-    out = C.context(found, files, _ask(spark, "f_1", "f_py"), budget=60, anchor_file="src/unit_1.rs", anchor_line=1, template="Do it.\n").orderBy("pos").collect()
-    assert out[0].id == "__template__" and out[1].id.startswith("src/unit_1.rs:") and sum(r.tokens for r in out) <= 60
+    ask = lambda budget: C.context(found, files, _ask(spark, "f_1", "f_py"), budget=budget, anchor_file="src/unit_1.rs", anchor_line=1, template="Do it.\n").orderBy("pos").collect()
+    out = ask(100)
+    assert out[0].id == "__template__" and out[1].id.startswith("src/unit_1.rs:") and sum(r.tokens for r in out) <= 100
+    assert ask(60) == []  # the template reserves 80, and where it finds no room nothing else stays
     fenced = C.context(found, files, _ask(spark, "f_py"), fence=True).collect()
     assert [r.content for r in fenced] == ["// File: lib/a.py (lines 1-2)\n```py\ndef f_py():\n    return 1\n```\n\n"]
 
