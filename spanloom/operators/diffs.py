@@ -23,8 +23,8 @@ def common_lengths(old: np.ndarray, new: np.ndarray) -> np.ndarray:
     return table
 
 
-def script(old: list[str], new: list[str]) -> list[tuple[str, str]]:
-    """(kind, line) with kind ' ', '+' or '-': a shortest script; where both will do additions come first.
+def script(old: list[str], new: list[str], removed_first: bool = False) -> list[tuple[str, str]]:
+    """(kind, line) with kind ' ', '+' or '-': a shortest script; where both will do additions come first, or removals.
 
     Equal lines at both ends are put aside, as some longest subsequence holds them.
     """
@@ -42,7 +42,7 @@ def script(old: list[str], new: list[str]) -> list[tuple[str, str]]:
         if i < len(a) and j < len(b) and x[i] == y[j]:
             out.append((" ", a[i]))
             i, j = i + 1, j + 1
-        elif j < len(b) and (i == len(a) or table[i, j + 1] >= table[i + 1, j]):
+        elif j < len(b) and (i == len(a) or table[i, j + 1] >= table[i + 1, j] + removed_first):
             out.append(("+", b[j]))
             j += 1
         else:
@@ -51,9 +51,9 @@ def script(old: list[str], new: list[str]) -> list[tuple[str, str]]:
     return out + [(" ", t) for t in old[len(old) - tail :]]
 
 
-def hunks(old: list[str], new: list[str], context: int = 3) -> list[tuple[int, int, int, int, list[tuple[str, str]]]]:
+def hunks(old: list[str], new: list[str], context: int = 3, removed_first: bool = False) -> list[tuple[int, int, int, int, list[tuple[str, str]]]]:
     """(old start, old lines, new start, new lines, script) of each run of changes with its context; runs whose contexts meet are one."""
-    steps = script(old, new)
+    steps = script(old, new, removed_first)
     changed = np.flatnonzero([k != " " for k, _ in steps])
     if not len(changed):
         return []
@@ -75,14 +75,14 @@ def rendered(file: str, parts: list[tuple]) -> str:
     return f"--- a/{file}\n+++ b/{file}\n" + "".join(body)
 
 
-def diff(pairs: DataFrame, context: int = 3) -> DataFrame:
+def diff(pairs: DataFrame, context: int = 3, removed_first: bool = False) -> DataFrame:
     """(file, hunks, patch) of pairs (file, old, new) that differ; a null side is an empty file. A file is compared by one task."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for file, old, new in zip(batch["file"], batch["old"], batch["new"]):
-                parts = hunks(text_lines(old or ""), text_lines(new or ""), context)
+                parts = hunks(text_lines(old or ""), text_lines(new or ""), context, removed_first)
                 shown = [{"old_start": a, "old_lines": n, "new_start": b, "new_lines": m, "lines": [{"kind": k, "text": t} for k, t in steps]} for a, n, b, m, steps in parts]
                 rows.append((file, shown, rendered(file, parts)))
             yield pd.DataFrame(rows, columns=["file", "hunks", "patch"])

@@ -236,4 +236,4 @@ def render_patch(files: DataFrame, edited: DataFrame, context: int = 3) -> DataF
     from . import diffs
 
     both = edited.where("content is not null").select("file", F.col("content").alias("new")).join(files.select("file", F.col("content").alias("old")), "file")
-    return diffs.diff(both, context).select("file", "patch").where("patch <> ''")
+    return diffs.diff(both, context, removed_first=True).select("file", "patch").where("patch <> ''")

@@ -153,7 +153,7 @@ def test_scripts_are_shortest_and_hunks_apply(spark):
         steps = diffs.script(a, b)
         assert sum(k == " " for k, _ in steps) == lcs(a, b)
         assert [t for k, t in steps if k != "+"] == a and [t for k, t in steps if k != "-"] == b
-        assert diffs.applied(a, diffs.hunks(a, b, n % 4)) == b
+        assert diffs.applied(a, diffs.hunks(a, b, n % 4)) == b and diffs.applied(a, diffs.hunks(a, b, n % 4, True)) == b
         pairs.append((str(n), "".join(x + "\n" for x in a), "".join(x + "\n" for x in b)))
     got = diffs.diff(spark.createDataFrame(pairs, "file string, old string, new string")).collect()
     assert len(got) == sum(a != b for _, a, b in pairs)
