@@ -196,9 +196,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (learn if learn is not None else F.lit(True)))
     slim = rows.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    counts = slim.groupBy("lang").agg(F.count("*").alias("n")).withColumnRenamed("lang", "l")  # a row for each language
-    drawn = F.pmod(F.xxhash64("id", F.length("text")), F.lit(1 << 20)) * F.col("n") < per_lang * (1 << 20)
-    picked = slim.join(counts, F.col("lang") == F.col("l")).where(drawn)
+    counts = {r[0]: r[1] for r in slim.groupBy("lang").count().collect()}  # the model holds each of these languages
+    if not counts:
+        return LanguageModel(Sparse([], []), [])
+    share = F.element_at(F.create_map(*[F.lit(x) for code, n in sorted(counts.items()) for x in (code, min(1.0, per_lang / n))]), F.col("lang"))
+    picked = slim.where(F.pmod(F.xxhash64("id", F.length("text")), F.lit(1 << 20)) < share * (1 << 20))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
