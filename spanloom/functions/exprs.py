@@ -30,6 +30,13 @@ def line_slice(t: Column, first: int, last: int) -> Column:
     return F.array_join(F.slice(lines(t), first, last - first + 1), "\n")
 
 
+def line_end(t: Column) -> Column:
+    """What most lines end with: carriage return and line feed if all breaks are such, else a line feed."""
+    feeds = F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))
+    pairs = (F.length(t) - F.length(F.replace(t, F.lit("\r\n"), F.lit("")))) / 2
+    return F.when((pairs > 0) & (pairs >= feeds), "\r\n").otherwise("\n")
+
+
 def byte_slice(t: Column, start: Column, end: Column) -> Column:
     """The text of the bytes start .. end - 1; null where they end beyond the text's, or part a character."""
     part = t.cast("binary").substr((start + 1).cast("int"), (end - start).cast("int")).cast("string")

@@ -37,6 +37,16 @@ def resolve_session(index: DataFrame, wanted: str) -> DataFrame:
     return index.where(hit)
 
 
+def the_session(index: DataFrame, wanted: str) -> str:
+    """The one id that resolve_session() finds: an exact one, else the only one; raises where there is none, or more."""
+    found = sorted(r.id for r in resolve_session(index, wanted).select("id").distinct().limit(20).collect())
+    if wanted in found:
+        return wanted
+    if len(found) != 1:
+        raise ValueError(f"ambiguous session {wanted}: {', '.join(found)}" if found else f"no session matches {wanted}")
+    return found[0]
+
+
 def retention(index: DataFrame, keep: int, older_than=None, key: str = "owner") -> DataFrame:
     """Sessions to remove: beyond the newest `keep` of each owner, or older than a time."""
     w = Window.partitionBy(key).orderBy(F.desc("ts"), F.desc("id"))

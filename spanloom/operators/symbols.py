@@ -153,11 +153,14 @@ def rust_symbols(file: str, content: str) -> list[tuple]:
 
 
 def python_symbols(file: str, content: str) -> list[tuple]:
-    """Functions, classes and methods (anything defined below a class), with docstrings; a leading underscore is private."""
+    """Functions, classes and methods (anything defined below a class), with docstrings; a leading underscore is private.
+
+    A file that does not parse is read by its indents, without docstrings.
+    """
     try:
         tree = ast.parse(content)
     except (SyntaxError, ValueError, RecursionError):
-        return []
+        return indented_symbols(file, content)
     starts = [0]
     for x in content.encode().split(b"\n"):
         starts.append(starts[-1] + len(x) + 1)
@@ -177,6 +180,36 @@ def python_symbols(file: str, content: str) -> list[tuple]:
     return out
 
 
+_DEFINES = re.compile(r"([ \t]*)(?:async[ \t]+)?(def|class)[ \t]+([^\W\d]\w*)")
+
+
+def indented_symbols(file: str, content: str) -> list[tuple]:
+    """python_symbols() of a file with faults: a definition reaches down to the last line that is further in than it."""
+    lines, starts = content.split("\n"), [0]
+    for x in lines:
+        starts.append(starts[-1] + len(x.encode()) + 1)
+    width = [len(x.expandtabs()) - len(x.expandtabs().lstrip()) if x.strip() and not x.lstrip().startswith("#") else None for x in lines]
+    out: list[tuple] = []
+    around: list[tuple[int, str, bool]] = []  # the indent, name and kind of each block that is open
+    for i, x in enumerate(lines):
+        m = _DEFINES.match(x)
+        if width[i] is not None:
+            while around and around[-1][0] >= width[i]:
+                around.pop()
+        if not m:
+            continue
+        end = i
+        for j in range(i + 1, len(lines)):
+            if width[j] is not None and width[j] <= width[i]:
+                break
+            end = j if width[j] is not None else end
+        name, is_class, classes = m[3], m[2] == "class", [n for _, n, c in around if c]
+        kind = "class" if is_class else "method" if classes else "function"
+        out.append((file, "python", kind, name, "::".join([*classes, name]) if kind == "method" else name, starts[i] + len(m[1].encode()), starts[end] + len(lines[end].rstrip("\r").encode()), i + 1, end + 1, "private" if name.startswith("_") else "public", None))
+        around.append((width[i], name, is_class))
+    return out
+
+
 PARSERS = {"rust": rust_symbols, "python": python_symbols}
 
 

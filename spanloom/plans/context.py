@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bpe
 from ..functions import exprs as X
+from ..functions import paths as P
 from ..operators import callgraph, dedupe as dedupes, fit, retrieve
 
 #: Budget, limit and symbols a query of each tier.
@@ -45,6 +46,18 @@ def pieces(chosen: DataFrame, files: DataFrame) -> DataFrame:
     return merged.join(files.select("file", "content"), "file").select("file", "start", "end", body.alias("body"))
 
 
+def in_reading_order(found: DataFrame, anchor_file: str | None, root: str = "/") -> DataFrame:
+    """pieces() with nth: those of the anchor's file, then those of its folder, then by path and line."""
+    here = F.lit(False) if anchor_file is None else P.same_file(F.col("file"), F.lit(anchor_file), root)
+    order = Window.orderBy(here.desc(), P.in_folder_of(F.col("file"), anchor_file, root).desc(), P.relative(F.col("file"), root), "start")
+    return found.withColumn("nth", F.row_number().over(order))
+
+
+def error_text(has_symbols: bool) -> str:
+    """What is said where nothing was found, as text."""
+    return "No symbols matched the queries.\n" if has_symbols else "No symbols are indexed.\n"
+
+
 def items(found: DataFrame, anchor_file: str | None = None, fence: bool = False, template: str = "", vocab: str | None = bpe.VOCAB, piece_tokens: int = PIECE_TOKENS) -> DataFrame:
     """(id, file, start, end, content, tokens, level, relevance, proximity, hard, min_tokens, tags) of pieces, with the template as a hard item.
 
@@ -111,6 +124,11 @@ def as_text(found: DataFrame) -> DataFrame:
     return found.agg(F.array_join(F.transform(rows, lambda x: x["content"]), "").alias("text"))
 
 
+def as_text_or_error(found: DataFrame, has_symbols: bool = True) -> DataFrame:
+    """as_text(), or error_text() where there is nothing."""
+    return as_text(found).select(F.when(F.col("text") == "", error_text(has_symbols)).otherwise(F.col("text")).alias("text"))
+
+
 def write_chunks(chunks: DataFrame, path: str) -> None:
     """chunks (chunk_id, symbol_path, source_file, start_line, end_line, token_count, content): texts by chunk below path/chunks, and path/manifest as JSON lines."""
     named = chunks.withColumn("file", F.format_string("chunk_%03d.txt", "chunk_id"))

@@ -470,3 +470,23 @@ def language_filter(spark, d):
     return retrieve.selected(named, ["Rust", "python", "go"], False).select("point_id", "lang")
 
 
+@_query("SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'crlf' ELSE 'lf' END AS ends FROM part")
+def line_ends(spark, d):
+    k = F.col("p_size") % 3
+    text = F.when(k == 0, F.concat("p_name", F.lit("\r\n"), "p_type", F.lit("\r\n"))).when(k == 1, F.concat("p_name", F.lit("\r\n"), "p_type", F.lit("\n"))).otherwise(F.col("p_name"))
+    return _t(spark, d, "part").select("p_partkey", F.when(X.line_end(text) == "\r\n", "crlf").otherwise("lf").alias("ends"))
+
+
+@_query("SELECT o_custkey AS id, count(*) AS files, array_to_string(list(o_orderkey ORDER BY o_orderkey)[1:3], ',') AS sample FROM orders GROUP BY 1")
+def session_samples(spark, d):
+    from ..sources import files
+
+    paths = F.array_sort(F.collect_list(F.struct(F.col("o_orderkey").alias("original_path"))))
+    m = _t(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(paths.alias("files"))
+    return files.sample_paths(m).withColumn("sample", F.array_join(F.transform("sample", lambda x: x.cast("string")), ","))
+
+
+@_query("""WITH p AS (SELECT p_partkey, 'src/' || p_type || '/' || p_name AS file, p_size FROM part) SELECT p_partkey, CAST(row_number() OVER (ORDER BY file = 'src/PROMO/red rod' DESC, starts_with(file, 'src/PROMO/') AND file <> 'src/PROMO/red rod' DESC, file, p_size, p_partkey) AS INT) AS nth FROM p""")
+def piece_order(spark, d):
+    p = _t(spark, d, "part").select("p_partkey", F.concat_ws("/", F.lit("src"), "p_type", "p_name").alias("file"), F.struct("p_size", "p_partkey").alias("start"))
+    return context.in_reading_order(p, "src/PROMO/red rod").select("p_partkey", "nth")

@@ -70,9 +70,11 @@ def _rules(path: str) -> IgnoreRules | None:
 def walk(root: str, ignore: list[str] | None = None, include_hidden: bool = True, follow_symlinks: bool = False, max_depth: int | None = None, extensions: list[str] | None = None) -> list[str]:
     """Sorted paths of the regular files below root that no .ignore, .gitignore or extra glob leaves out.
 
-    .gitignore and .git/info/exclude count inside a repository only. What can't be read is left out.
+    .gitignore, .git/info/exclude and the user's own ignore file count inside a repository only, the last one last. What can't
+    be read is left out.
     """
     root = os.path.normpath(root)
+    everywhere = _rules(os.path.join(os.environ.get("XDG_CONFIG_HOME") or os.path.expanduser("~/.config"), "git/ignore"))
     extra = [re.compile("(?:.*/)?" + ignore_regex(p) + "(?:/.*)?", re.S) for p in ignore or []]
     top = os.path.abspath(root)
     above = [top]
@@ -96,7 +98,7 @@ def walk(root: str, ignore: list[str] | None = None, include_hidden: bool = True
                 if (said := r.ignores(os.path.relpath(path, directory), is_dir)) is not None:
                     return said
             if directory == above[-1] or directory == os.path.dirname(directory):
-                return False
+                return bool(in_repository and everywhere and everywhere.ignores(os.path.relpath(path, above[-1]), is_dir))
             directory = os.path.dirname(directory)
 
     out = []
@@ -118,8 +120,15 @@ def scan(spark: SparkSession, root: str, **options) -> DataFrame:
     return spark.createDataFrame(stats, "path string, size long, modified double").withColumn("modified", F.timestamp_micros((F.col("modified") * 1_000_000).cast("long")))
 
 
-def read_texts(spark: SparkSession, root: str, **options) -> DataFrame:
-    """(path, content) of walk()'s files, read by the executors; content that is not valid UTF-8 is null."""
+#: Fixed value: bytes from which a file that is no text counts as empty where texts are read strictly.
+LARGE_FILE = 1 << 20
+
+
+def read_texts(spark: SparkSession, root: str, strict: bool = False, **options) -> DataFrame:
+    """(path, content) of walk()'s files, read by the executors; content that is not valid UTF-8 is null.
+
+    strict: such a file of over LARGE_FILE bytes is empty instead, and a smaller one ends the job.
+    """
     paths = walk(root, **options)
     base = os.path.abspath(root)
     full = [p for p in paths if os.path.getsize(p)]  # the reader passes empty files over
@@ -129,14 +138,35 @@ def read_texts(spark: SparkSession, root: str, **options) -> DataFrame:
     raw = spark.read.format("binaryFile").load(["file://" + os.path.abspath(p) for p in full])
     text = F.col("content").cast("string")
     rel = F.substring(F.url_decode(F.replace(F.regexp_replace("path", "^file:/+", "/"), F.lit("+"), F.lit("%2B"))), len(base) + 2, 1 << 30)
-    return raw.select(rel.alias("path"), F.when(F.is_valid_utf8(text), text).alias("content")).unionByName(empty)
+    bad = F.lit(None).cast("string")
+    if strict:
+        bad = F.when(F.length("content") > LARGE_FILE, "").otherwise(F.raise_error(F.concat(F.lit("no UTF-8: "), rel)))
+    return raw.select(rel.alias("path"), F.when(F.is_valid_utf8(text), text).otherwise(bad).alias("content")).unionByName(empty)
+
+
+def read_conflicted(spark: SparkSession, root: str) -> DataFrame:
+    """(file, content) of all files below root that have three lines of conflict marks or more; content is bytes."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    marks = F.regexp_count(F.decode("content", "ISO-8859-1"), F.lit(r"(?m)^(?:<{7}|={7}|>{7})"))
+    return raw.where(marks >= 3).select(F.col("path").alias("file"), "content")
 
 
 def read_symbols(spark: SparkSession, path: str) -> DataFrame:
-    """A table of symbols from JSON lines; a line that is no object of this kind ends the job."""
+    """A table of symbols from JSON lines; a line that is no object of this kind ends the job, see bad_lines()."""
     return spark.read.schema(SYMBOLS).option("mode", "FAILFAST").json(path)
 
 
+def bad_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, text) of the lines that read_symbols() fails on; a file is read as a whole, so this is for finding faults."""
+    texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("pos", "text"))
+    found = texts.where(F.trim("text") != "").withColumn("row", F.from_json("text", SYMBOLS + ", _bad string", {"columnNameOfCorruptRecord": "_bad"}))
+    return found.where("row._bad is not null or row is null").select("file", (F.col("pos") + 1).cast("long").alias("line"), "text")
+
+
+def in_order(symbols: DataFrame) -> DataFrame:
+    return symbols.orderBy("file", "start_line", "byte_start", "name")
+
+
 def write_symbols(symbols: DataFrame, path: str) -> None:
     """JSON lines in ranges of (file, start_line, byte_start, name): files in order make one ordered table."""
     symbols.select(*[x.split()[0] for x in SYMBOLS.split(", ")]).orderBy("file", "start_line", "byte_start", "name").write.mode("overwrite").json(path)
@@ -176,9 +206,19 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("log"), F.col("value").alias("text"))
 
 
+#: Folders that do not make an index stale, and how many folders down files count.
+SKIPPED_FOLDERS = ("target", "node_modules", ".git", "build", "dist", ".next", "venv", "__pycache__", ".vscode", ".idea")
+STALE_DEPTH = 5
+
+
 def is_stale(files: DataFrame, index_modified, extensions: tuple[str, ...] = ("rs", "py", "js", "ts", "tsx", "go", "cpp", "h")) -> DataFrame:
-    """One row, stale: whether a source file (path, modified) is newer than the index."""
-    newer = X.extension(F.col("path")).isin(*extensions) & (F.col("modified") > F.lit(index_modified))
+    """One row, stale: whether a source file (path from the root, modified) is newer than the index.
+
+    Paths with a component of SKIPPED_FOLDERS, and those more than STALE_DEPTH folders down, do not count.
+    """
+    parts = F.split("path", "/")
+    seen = ~F.arrays_overlap(parts, F.array(*[F.lit(x) for x in SKIPPED_FOLDERS])) & (F.size(parts) <= STALE_DEPTH + 1)
+    newer = seen & F.regexp_extract("path", r"\.([^./]+)$", 1).isin(*extensions) & (F.col("modified") > F.lit(index_modified))
     return files.agg(F.coalesce(F.bool_or(newer), F.lit(False)).alias("stale"))
 
 
@@ -188,16 +228,89 @@ def history_after(history: list[str], name: str, most: int = 100) -> list[str]:
     return (kept if name in kept else [name, *kept])[:most]
 
 
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """Writes one file on any store that Spark reaches: under another name first, then moved to its own."""
+    jvm = spark.sparkContext._jvm
+    where, part = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, path + ".part"))
+    store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = store.create(part, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+    store.delete(where, False)
+    if not store.rename(part, where):
+        raise OSError(f"could not write {path}")
+
+
+def write_chunk_files(chunks: DataFrame, path: str) -> int:
+    """Files chunk_001.txt and on below path, and chunks_manifest.jsonl, of chunks in order of chunk_id; how many. One passes the driver at a time."""
+    spark, lines = chunks.sparkSession, []
+    names = ("symbol_path", "source_file", "start_line", "end_line", "token_count")
+    for r in chunks.orderBy("chunk_id").toLocalIterator():
+        file = f"chunk_{r['chunk_id']:03d}.txt"
+        write_bytes(spark, f"{path}/{file}", r["content"].encode())
+        lines.append(json.dumps({"chunk_id": r["chunk_id"], "file": file} | {n: r[n] for n in names}))
+    write_bytes(spark, f"{path}/chunks_manifest.jsonl", "".join(x + "\n" for x in lines).encode())
+    return len(lines)
+
+
+def read_history(spark: SparkSession, path: str) -> list[str]:
+    """The names in a history file, trimmed, without blank lines; none where there is no file."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        return []
+    return [x.strip() for r in spark.read.text(path, wholetext=True).collect() for x in r.value.split("\n") if x.strip()]
+
+
+def write_history(spark: SparkSession, path: str, name: str, most: int = 100) -> list[str]:
+    """history_after() of a history file, written back."""
+    out = history_after(read_history(spark, path), name, most)
+    write_bytes(spark, path, "".join(x + "\n" for x in out).encode())
+    return out
+
+
+def write_extract(found: DataFrame, path: str) -> None:
+    """One file of found's texts (pos, text) in order, a line break between them."""
+    rows = found.orderBy("pos").toLocalIterator()
+    write_bytes(found.sparkSession, path, "\n".join(r["text"] for r in rows).encode())
+
+
+def sample_paths(manifests: DataFrame, most: int = 3) -> DataFrame:
+    """(id, files, sample) of manifests: how many files, and the first paths."""
+    return manifests.select("id", F.size("files").cast("long").alias("files"), F.slice(F.transform("files", lambda f: f["original_path"]), 1, most).alias("sample"))
+
+
 def load_config(directory: str, name: str, environ: dict[str, str] | None = None) -> dict:
-    """Settings of the first of name.toml, name.json and .name.toml, under those of variables NAME_KEY."""
+    """Settings of the first of name.toml, name.yaml, name.json and .name.toml, under those of variables NAME_KEY.
+
+    A variable NAME_TABLE_KEY sets key within a table of the file. YAML needs the yaml package.
+    """
+
+    def yaml(text: str) -> dict:
+        try:
+            from yaml import safe_load
+        except ImportError as e:
+            raise ValueError("a YAML file needs the yaml package") from e
+        return safe_load(text) or {}
+
     out: dict = {}
-    for file, read in ((f"{name}.toml", tomllib.loads), (f"{name}.json", json.loads), (f".{name}.toml", tomllib.loads)):
+    for file, read in ((f"{name}.toml", tomllib.loads), (f"{name}.yaml", yaml), (f"{name}.json", json.loads), (f".{name}.toml", tomllib.loads)):
         if os.path.isfile(f"{directory}/{file}"):
             with open(f"{directory}/{file}", encoding="utf-8") as f:
                 out = read(f.read())
             break
     prefix = name.upper() + "_"
-    return out | {k[len(prefix) :].lower(): v for k, v in (environ if environ is not None else os.environ).items() if k.startswith(prefix)}
+    for k, v in (environ if environ is not None else os.environ).items():
+        if k.startswith(prefix):
+            key = k[len(prefix) :].lower()
+            table, _, rest = key.partition("_")
+            if isinstance(out.get(table), dict) and rest:
+                out[table] = out[table] | {rest: v}
+            else:
+                out[key] = v
+    return out
 
 
 def matching(files: DataFrame, globs: list[str], column: str = "path") -> DataFrame:

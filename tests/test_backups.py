@@ -148,3 +148,80 @@ def test_rendered_diff_applies_with_git(tree):
         f.write("\n".join(a) + "\n")
     subprocess.run(["git", "-C", tree, "apply", "-"], input=diffs.rendered("f", diffs.hunks(a, b)), text=True, check=True)
     assert read(tree, "f").decode() == "\n".join(b) + "\n"
+
+
+def test_sinks_and_history(spark, tmp_path):
+    path = str(tmp_path / "h")
+    assert files.read_history(spark, path) == []
+    for name in ("a", "b", "a"):
+        last = files.write_history(spark, path, name, 2)
+    assert last == files.read_history(spark, path) == ["b", "a"] and files.write_history(spark, path, "c", 2) == ["c", "b"]
+    rows = spark.createDataFrame([(2, "s", "f", 1, 2, 3, "zwei\n"), (1, "s", "f", 1, 2, 3, "")], "chunk_id int, symbol_path string, source_file string, start_line int, end_line int, token_count int, content string")
+    assert files.write_chunk_files(rows, str(tmp_path / "c")) == 2
+    assert read(str(tmp_path / "c"), "chunk_002.txt") == b"zwei\n" and read(str(tmp_path / "c"), "chunk_001.txt") == b"" and read(str(tmp_path / "c"), "chunks_manifest.jsonl").startswith(b'{"chunk_id": 1, "file": "chunk_001.txt"')
+    files.write_extract(spark.createDataFrame([(2, "b"), (1, "a")], "pos int, text string"), str(tmp_path / "x"))
+    assert read(str(tmp_path), "x") == b"a\nb"
+
+
+def test_faults_in_sources(spark, tmp_path):
+    import json
+
+    good = json.dumps({"file": "a", "lang": "rust", "kind": "function", "name": "f", "qualified_name": "f", "byte_start": 0, "byte_end": 1, "start_line": 1, "end_line": 1})
+    (tmp_path / "s.jsonl").write_text(f"{good}\n\n{{broken\n{good}\n")
+    assert [(r.line, r.text) for r in files.bad_lines(spark, str(tmp_path / "s.jsonl")).collect()] == [(3, "{broken")]
+    sub = tmp_path / "t"
+    (sub / "d").mkdir(parents=True)
+    (sub / "d/x").write_bytes(b"<<<<<<< a\n1\n=======\n2\n>>>>>>> b\n\xff")
+    (sub / "y").write_text("=======\n")
+    assert [r.file.rpartition("/")[2] for r in files.read_conflicted(spark, str(sub)).collect()] == ["x"]
+    (sub / "big").write_bytes(b"\xff" * (files.LARGE_FILE + 1))
+    os.remove(sub / "d/x")
+    assert {r.path: r.content for r in files.read_texts(spark, str(sub), strict=True).collect()} == {"big": "", "y": "=======\n"}
+    (sub / "small").write_bytes(b"\xff")
+    with pytest.raises(Exception, match="no UTF-8"):
+        files.read_texts(spark, str(sub), strict=True).collect()
+
+
+def test_stale_folders(spark):
+    new = datetime(2024, 1, 2)
+    old = datetime(2024, 1, 1)
+    ask = lambda p: files.is_stale(spark.createDataFrame([(p, new)], "path string, modified timestamp"), old).first().stale
+    assert ask("a/b.rs") and ask("a/b/c/d/e/f.py") and not ask("a/b/c/d/e/f/g.py") and not ask("a/target/b.rs") and not ask("a.md")
+
+
+def test_settings(tmp_path):
+    (tmp_path / "x.yaml").write_text("a: 1\nt:\n  k: 2\n  l: 3\n")
+    pytest.importorskip("yaml")
+    assert files.load_config(str(tmp_path), "x", {"X_T_K": "5", "X_B": "7", "Y": "0"}) == {"a": 1, "t": {"k": "5", "l": 3}, "b": "7"}
+    (tmp_path / "x.toml").write_text("a = 2\n")
+    assert files.load_config(str(tmp_path), "x", {}) == {"a": 2}
+
+
+def test_the_session(spark):
+    from spanloom.operators import govern
+
+    index = spark.createDataFrame([("2024-01_aaaaaaaa", 1), ("2024-01_bbbbbbbb", 2), ("2024-01", 3)], "id string, ts int").selectExpr("*", "true as done", "true as success")
+    assert govern.the_session(index, "aaaaaaaa") == "2024-01_aaaaaaaa" and govern.the_session(index, "2024-01") == "2024-01" and govern.the_session(index, "latest") == "2024-01"
+    for bad in ("2024-", "zzzzzzzz"):
+        with pytest.raises(ValueError):
+            govern.the_session(index, bad)
+
+
+def test_python_with_faults():
+    from spanloom.operators import symbols
+
+    src = "class A:\n    def f(self):\n        return 1\n\n    async def _g(self): pass\n# note\nx = (\ndef h():\n\ty = 1\n"
+    got = [(r[2], r[3], r[4], r[7], r[8], r[9], src.encode()[r[5] : r[6]].decode()) for r in symbols.python_symbols("a.py", src)]
+    assert [g[:6] for g in got] == [("class", "A", "A", 1, 5, "public"), ("method", "f", "A::f", 2, 3, "public"), ("method", "_g", "A::_g", 5, 5, "private"), ("function", "h", "h", 8, 9, "public")]
+    assert got[1][6] == "def f(self):\n        return 1" and got[3][6] == "def h():\n\ty = 1"
+
+
+def test_ignore_of_the_user(tmp_path, monkeypatch):
+    (tmp_path / "cfg/git").mkdir(parents=True)
+    (tmp_path / "cfg/git/ignore").write_text("*.tmp\n")
+    repo = tmp_path / "r"
+    (repo / ".git").mkdir(parents=True)
+    (repo / "a.tmp").write_text("")
+    (repo / "b.rs").write_text("")
+    monkeypatch.setenv("XDG_CONFIG_HOME", str(tmp_path / "cfg"))
+    assert [os.path.basename(p) for p in files.walk(str(repo)) if "/.git/" not in p] == ["b.rs"]
