@@ -211,11 +211,14 @@ def applied(content: str, ops: list[dict], encode: Callable[[str], list[int]] |
     return end.join(lines) + (end if content.endswith("\n") else "")
 
 
-def apply_edits(files: DataFrame, ops: DataFrame) -> DataFrame:
+def apply_edits(files: DataFrame, ops: DataFrame, vocab: str | None = None) -> DataFrame:
     """(file, content, problems) for each file that ops name: the new content, or null with what speaks against it.
 
-    A file that is not there has the problem file-missing. Nothing is written.
+    A file that is not there has the problem file-missing. With a vocabulary replacements go where their old tokens are found
+    first. Nothing is written.
     """
+    from ..functions import bpe
+
     each = ops.groupBy("file").agg(F.to_json(F.array_sort(F.collect_list(F.struct("pos", "op", "start_line", "end_line", "at_line", "old_content", "new_content", "guard_cid")))).alias("ops"))
     both = each.join(files.select("file", F.col("content")), "file", "left")
 
@@ -225,7 +228,7 @@ def apply_edits(files: DataFrame, ops: DataFrame) -> DataFrame:
             for file, ops_, content in zip(batch["file"], batch["ops"], batch["content"]):
                 todo = json.loads(ops_)
                 bad = ["file-missing"] if content is None else problems(content, todo)
-                rows.append((file, None if bad else applied(content, todo), bad))
+                rows.append((file, None if bad else applied(content, todo, (lambda t: bpe.encode(t, vocab)) if vocab else None), bad))
             yield pd.DataFrame(rows, columns=["file", "content", "problems"])
 
     return both.select("file", "ops", "content").mapInPandas(run, "file string, content string, problems array<string>")

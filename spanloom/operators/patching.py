@@ -7,6 +7,7 @@ import subprocess
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import bpe
 from . import backups, diffs, edits
 
 #: What a line of an error says, its kind, and the advice that goes with it; the first that fits counts.
@@ -81,14 +82,18 @@ def exit_code(message: Column) -> Column:
     return out
 
 
-def apply_here(root: str, ops: dict[str, list[dict]], engine: str = "auto", backup: bool = True, check_only: bool = False) -> dict:
+def apply_here(root: str, ops: dict[str, list[dict]], engine: str = "auto", backup: bool = True, check_only: bool = False, git_mode: str = "worktree", whitespace: str = "nowarn", vocab: str | None = None) -> dict:
     """Edits files of a tree on this machine's disk: {engine, files, problems, session}.
 
     internal edits by line spans. git hands git apply the difference that the edits make. auto is internal, and git where that
-    finds problems. Files are written one by one, whole, after a session of backups; with a problem none is.
+    finds problems. git_mode: worktree, index (the index goes along) or 3way; whitespace: what git does about it. Files are
+    written one by one, whole, after a session of backups; with a problem none is. vocab: see edits.apply_edits().
     """
-    if engine not in ("internal", "git", "auto"):
-        raise ValueError(f"no such engine: {engine}")
+    modes = {"worktree": [], "index": ["--index"], "3way": ["--3way"]}
+    if engine not in ("internal", "git", "auto") or git_mode not in modes or whitespace not in ("nowarn", "warn", "fix"):
+        raise ValueError(f"no such engine or mode: {engine}, {git_mode}, {whitespace}")
+    command = ["git", "-C", root, "apply", f"--whitespace={whitespace}", *modes[git_mode]]
+    encode = (lambda t: bpe.encode(t, vocab)) if vocab else None
     texts, bad, new = {}, {}, {}
     for file in ops:
         with open(f"{root}/{backups.inside(file)}", encoding="utf-8", newline="") as f:
@@ -97,7 +102,7 @@ def apply_here(root: str, ops: dict[str, list[dict]], engine: str = "auto", back
         if found:
             bad[file] = found
         else:
-            new[file] = edits.applied(texts[file], ops[file])
+            new[file] = edits.applied(texts[file], ops[file], encode)
     used = "git" if engine == "git" or (engine == "auto" and bad) else "internal"
     out = {"engine": used, "files": sorted(new), "problems": bad, "session": None}
     if used == "git":
@@ -105,7 +110,7 @@ def apply_here(root: str, ops: dict[str, list[dict]], engine: str = "auto", back
         patch = "".join(diffs.rendered(f, diffs.hunks(edits.text_lines(texts[f]), edits.text_lines(wanted[f]))) for f in sorted(ops))
         if bad or not patch:
             return out
-        done = subprocess.run(["git", "-C", root, "apply", "--check", "-"], input=patch, capture_output=True, text=True, timeout=60, check=False)
+        done = subprocess.run([*command, "--check", "-"], input=patch, capture_output=True, text=True, timeout=60, check=False)
         if done.returncode:
             return out | {"problems": {"git": done.stderr.splitlines()}}
     elif bad:
@@ -118,7 +123,7 @@ def apply_here(root: str, ops: dict[str, list[dict]], engine: str = "auto", back
             session.add(f)
         out["session"] = session.id
     if used == "git":
-        subprocess.run(["git", "-C", root, "apply", "-"], input=patch, capture_output=True, text=True, timeout=60, check=True)
+        subprocess.run([*command, "-"], input=patch, capture_output=True, text=True, timeout=60, check=True)
     else:
         for f, text in new.items():
             backups.write_whole(f"{root}/{f}", text.encode())

@@ -129,6 +129,22 @@ def test_edits_are_applied_with_a_backup(tree, engine):
     assert patching.apply_here(tree, wrong, engine)["problems"] and read(tree, "src/a.rs") == b"one\ntwo\n"
 
 
+def test_git_modes_and_relocation(tree):
+    git = lambda *a: subprocess.run(["git", "-C", tree, "-c", "user.name=x", "-c", "user.email=x@y", *a], check=True, capture_output=True, text=True).stdout
+    git("init", "-q")
+    git("add", "src/a.rs")
+    git("commit", "-qm", "x")
+    patching.apply_here(tree, OPS, "git", git_mode="index", backup=False)
+    assert git("diff", "--cached", "--name-only").split() == ["src/a.rs"]
+    with pytest.raises(ValueError):
+        patching.apply_here(tree, OPS, "git", git_mode="other")
+    with open(f"{tree}/twice", "w") as f:
+        f.write("same\nx\nsame\n")
+    op = {"pos": 0, "op": "replace", "start_line": 3, "end_line": 3, "old_content": "same", "new_content": "new", "guard_cid": None}
+    patching.apply_here(tree, {"twice": [op]}, "internal", backup=False, vocab="byte_bpe_50k.json")
+    assert read(tree, "twice") == b"new\nx\nsame\n"
+
+
 def test_git_snapshot(tree):
     assert backups.git_snapshot("/nowhere") is None
     git = lambda *a: subprocess.run(["git", "-C", tree, "-c", "user.name=x", "-c", "user.email=x@y", *a], check=True, capture_output=True)
