@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import bpe
 from ..functions import exprs as X
 from ..functions import paths as P
-from ..operators import callgraph, dedupe as dedupes, fit, retrieve
+from ..operators import callgraph, fit, lineage, retrieve
+from ..operators import dedupe as dedupes
 
 #: Budget, limit and symbols a query of each tier.
 TIERS = {"A": (1200, 96, 6), "B": (3000, 192, 8), "C": (6000, 256, 12)}
@@ -151,15 +152,15 @@ def symbol_chunks(symbols: DataFrame, files: DataFrame, most: int, overlap: int
     """
     spans = symbols.select("file", "byte_start", "byte_end", "start_line", "end_line", "qualified_name")
     texts = spans.join(files.select("file", "content"), "file").withColumn("body", F.coalesce(X.byte_slice(F.col("content"), F.col("byte_start"), F.col("byte_end")), F.array_join(F.slice(X.lines(F.col("content")), F.col("start_line").cast("int"), (F.col("end_line") - F.col("start_line") + 1).cast("int")), "\n"))).drop("content")
-    counted = texts.withColumn("tokens", bpe.token_count(F.col("body"), vocab))
     order = Window.partitionBy("file").orderBy("byte_start", "qualified_name")
-    small = fit.greedy_pack_breaking(counted.withColumn("nth", F.row_number().over(order)), most, "file", "nth")
-    shared = small.where("not big").join(counted.withColumn("nth", F.row_number().over(order)).drop("tokens"), ["file", "nth"]).groupBy("file", "pack").agg(F.array_sort(F.collect_list(F.struct("nth", "qualified_name", "body"))).alias("rows"), F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"))
+    counted = lineage.cut(texts.withColumn("tokens", bpe.token_count(F.col("body"), vocab)).withColumn("nth", F.row_number().over(order)))
+    small, bodies = fit.greedy_pack_breaking(counted, most, "file", "nth"), counted.drop("tokens")
+    shared = small.where("not big").join(bodies, ["file", "nth"]).groupBy("file", "pack").agg(F.array_sort(F.collect_list(F.struct("nth", "qualified_name", "body"))).alias("rows"), F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"))
     join = lambda field, sep: F.array_join(F.transform("rows", lambda r: r[field]), sep)
     shared = shared.select("file", "pack", F.lit(0).alias("part"), join("qualified_name", ", ").alias("symbol_path"), "start_line", "end_line", join("body", "\n").alias("content"))
     shared = shared.withColumn("token_count", bpe.token_count(F.col("content"), vocab))
     parts = lambda df: df.select("*", F.posexplode(bpe.windows(F.col("content"), most, overlap, vocab)).alias("i", "w"))
-    big = small.where("big").join(counted.withColumn("nth", F.row_number().over(order)).drop("tokens").withColumnRenamed("body", "content"), ["file", "nth"])
+    big = small.where("big").join(bodies.withColumnRenamed("body", "content"), ["file", "nth"])
     big = parts(big).select("file", "pack", (F.col("i") + 1).alias("part"), F.format_string("%s[part_%d]", "qualified_name", F.col("i") + 1).alias("symbol_path"), "start_line", "end_line", F.col("w.content").alias("content"), F.col("w.tokens").alias("token_count"))
     bare = files.select("file", "content").join(spans.select("file").distinct(), "file", "left_anti")
     bare = parts(bare).select("file", F.lit(0).cast("long").alias("pack"), F.col("i").alias("part"), F.format_string("chunk_%d", F.col("i") + 1).alias("symbol_path"), F.lit(0).cast("long").alias("start_line"), F.lit(0).cast("long").alias("end_line"), F.col("w.content").alias("content"), F.col("w.tokens").alias("token_count"))

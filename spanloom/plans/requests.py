@@ -433,7 +433,7 @@ def symbols_stored(spark, d):
     empty = {c.split()[0]: F.lit(None).cast(c.split()[1]) for c in files.SYMBOLS.split(", ")}
     own = {"file": F.col("p_brand"), "name": F.col("p_name"), "qualified_name": F.concat_ws("::", "p_type", "p_partkey"), "start_line": F.col("p_size").cast("long")}
     path = lineage.folder(spark, "symbols")
-    files.write_symbols(part.select(*[(own | {}).get(c, e).alias(c) for c, e in empty.items()]), path)
+    files.write_symbols(part.select(*[own.get(c, e).alias(c) for c, e in empty.items()]), path)
     return files.read_symbols(spark, path).select("file", "name", "qualified_name", "start_line")
 
 
