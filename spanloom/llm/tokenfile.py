@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import shared_path, slices, stored
-from .tokens import VOCAB, encoder
+from .tokens import SLICE_BYTES, VOCAB, encoder
 
 MARK = "S8TKEND\n"
 BLOCK, FRAME_IDS, FILE_FRAMES = 1024, 1 << 18, 32
@@ -151,7 +151,7 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
         part, before, enc = TaskContext.get().partitionId(), 0, encoder(vocab)
         docs_, counts_, ids_, held = [], [], [], 0
         for batch in batches:
-            for piece in slices(batch, "text"):
+            for piece in slices(batch, "text", SLICE_BYTES):
                 ids, at = enc.encode(piece.column(1).to_pylist(), end_id)
                 docs_ += piece.column(0).to_pylist()
                 counts_.append(np.diff(at))
