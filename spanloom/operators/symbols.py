@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ast
 import bisect
+import inspect
 import re
 from collections.abc import Iterator
 
@@ -180,6 +181,29 @@ def python_symbols(file: str, content: str) -> list[tuple]:
     return out
 
 
+def doc_attribute(attribute: str) -> str | None:
+    """The text of #[doc = "..."], plain or raw, inner or outer; None for any other attribute."""
+    m = re.fullmatch(r"""\s*#!?\[\s*doc\s*=\s*(?:"((?:\\.|[^"\\])*)"|r(#*)"(.*)"\2)\s*\]\s*""", attribute, re.S)
+    if not m:
+        return None
+    plain = {"n": "\n", "t": "\t", "r": "\r", "0": "\0"}
+    return m[3] if m[1] is None else re.sub(r"\\(.)", lambda x: plain.get(x[1], x[1]), m[1], flags=re.S)
+
+
+def unquoted(literal: str) -> str | None:
+    """The text of a Python string literal, without the indent that its lines share; None where it is none."""
+    try:
+        text = ast.literal_eval(literal.strip())
+    except (SyntaxError, ValueError):
+        return None
+    return inspect.cleandoc(text) if isinstance(text, str) else None
+
+
+def visibility(words: str) -> str | None:
+    """What an item's first word says: public, private or protected; None for anything else, such as pub(crate)."""
+    return {"pub": "public", "public": "public", "private": "private", "priv": "private", "protected": "protected"}.get(words.strip())
+
+
 _DEFINES = re.compile(r"([ \t]*)(?:async[ \t]+)?(def|class)[ \t]+([^\W\d]\w*)")
 
 

@@ -241,3 +241,11 @@ def test_ignore_of_the_user(tmp_path, monkeypatch):
     (repo / "b.rs").write_text("")
     monkeypatch.setenv("XDG_CONFIG_HOME", str(tmp_path / "cfg"))
     assert [os.path.basename(p) for p in files.walk(str(repo)) if "/.git/" not in p] == ["b.rs"]
+
+
+def test_texts_of_attributes_and_literals():
+    from spanloom.operators import symbols
+
+    assert symbols.doc_attribute('#[doc = "a \\"b\\"\\n"]') == 'a "b"\n' and symbols.doc_attribute('#![doc=r#"x "y""#]') == 'x "y"' and symbols.doc_attribute("#[inline]") is None
+    assert symbols.unquoted('"""a\n    b\n      c"""') == "a\nb\n  c" and symbols.unquoted("r'\\n'") == "\\n" and symbols.unquoted("1") is None and symbols.unquoted("'") is None
+    assert [symbols.visibility(x) for x in ("pub ", "pub(crate)", "priv")] == ["public", None, "private"]
