@@ -70,17 +70,15 @@ def _levels(spans: DataFrame) -> int:
     return int(top).bit_length() + 1
 
 
-def _span_nodes(levels: int) -> Column:
-    """The fewest aligned blocks of 2 ** level lines that make up start .. end, as (level, node): two a level at most."""
-
-    def at(k):
-        one = F.call_function("shiftleft", F.lit(1).cast("long"), k)
-        first = F.floor((F.col("start").cast("long") + one - 1) / one).cast("long")
-        past = F.floor((F.col("end").cast("long") + 1) / one).cast("long")
-        part = lambda ok, node: F.when((first < past) & ok, F.struct(k.cast("int").alias("level"), node.alias("node")))
-        return F.array(part(F.pmod(first, F.lit(2)) == 1, first), part(F.pmod(past, F.lit(2)) == 1, past - 1))
-
-    return F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels)), at)), lambda x: x.isNotNull())
+def _in_blocks(spans: DataFrame, levels: int) -> DataFrame:
+    """spans with (level, node) of the fewest aligned blocks of 2 ** level lines that make up start .. end: a row a block, two a level at most."""
+    each = spans.where("start <= end").select("*", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level"))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("level"))
+    first = F.floor((F.col("start").cast("long") + one - 1) / one).cast("long")
+    past = F.floor((F.col("end").cast("long") + 1) / one).cast("long")
+    each = each.withColumns({"first": first, "past": past}).where("first < past")
+    lower, upper = each.where("pmod(first, 2) = 1").withColumn("node", F.col("first")), each.where("pmod(past, 2) = 1").withColumn("node", F.col("past") - 1)
+    return lower.unionByName(upper).drop("first", "past")
 
 
 def _containing(points: DataFrame, spans: DataFrame, key: str, order: list[Column], k: int) -> DataFrame:
@@ -90,7 +88,7 @@ def _containing(points: DataFrame, spans: DataFrame, key: str, order: list[Colum
     can be among a point's first k, so a crowded file costs no more than k spans a block.
     """
     levels = _levels(spans)
-    placed = spans.where("start <= end").select("*", F.explode(_span_nodes(levels)).alias("at")).select(*spans.columns, F.col("at.level").alias("level"), F.col("at.node").alias("node"))
+    placed = _in_blocks(spans, levels)
     first = placed.withColumn("nth", F.row_number().over(Window.partitionBy(key, "level", "node").orderBy(*order))).where(F.col("nth") <= k).drop("nth")
     each = points.where("line is not null").select(key, "point_id", "line", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level"))
     each = each.withColumn("node", F.floor(F.col("line").cast("long") / F.call_function("shiftleft", F.lit(1).cast("long"), F.col("level"))).cast("long"))
