@@ -147,21 +147,32 @@ def budget_fit(items: DataFrame, budget: int | dict[str, int], key: str = "bucke
 
 
 def trim_tail(items: DataFrame, most: int, key: str = "bucket") -> DataFrame:
-    """items (key, id, tokens) of each bucket up to `most` tokens: the smallest go first, of equal ones the least id."""
-    w = Window.partitionBy(key).orderBy(F.desc("tokens"), F.desc("id")).rowsBetween(Window.unboundedPreceding, 0)
-    return items.withColumn("__sum", F.sum("tokens").over(w)).where(F.col("__sum") <= most).drop("__sum")
+    """items (key, id, tokens) of each bucket up to `most` tokens: the smallest go first, of equal ones the least id.
+
+    No more than `most` items of a token or more can stay, so the others are dropped before any sum; empty ones stay where all
+    others do.
+    """
+    order = Window.partitionBy(key).orderBy(F.desc("tokens"), F.desc("id"))
+    some = items.where("tokens > 0")
+    first = some.withColumn("__nth", F.row_number().over(order)).where(F.col("__nth") <= most + 1)
+    kept = first.withColumn("__sum", F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("__sum") <= most)
+    full = some.groupBy(key).agg(F.sum("tokens").alias("__all")).where(F.col("__all") > most)
+    return kept.drop("__nth", "__sum").unionByName(items.where("tokens <= 0").join(full.select(key), key, "left_anti").select(items.columns))
 
 
 def overflow(items: DataFrame, caps_total: int, tolerance: float = 0.05) -> tuple[DataFrame, DataFrame]:
     """Of items (id, tokens) of all buckets, those within the sum of caps and a tolerance, and refusals (id, bucket, reason) of the others.
 
-    Items go by id, the least first, until the rest fits. All buckets together are no more than the caps let in, so one task sums them.
+    Items go by id, the least first, until the rest fits: down to the id at which the sum from above is too much, which is among
+    the first as many as there are tokens.
     """
     most = caps_total + int(caps_total * tolerance)
-    w = Window.orderBy(F.desc("id")).rowsBetween(Window.unboundedPreceding, 0)
-    summed = items.withColumn("__sum", F.sum("tokens").over(w))
-    gone = summed.where(F.col("__sum") > most).select("id", F.lit("mixed").alias("bucket"), F.lit("budget-overflow").alias("reason"))
-    return summed.where(F.col("__sum") <= most).drop("__sum"), gone
+    first = items.where("tokens > 0").select("id", "tokens").orderBy(F.desc("id")).limit(most + 1)  # a top-k
+    summed = first.withColumn("sum", F.sum("tokens").over(Window.orderBy(F.desc("id")).rowsBetween(Window.unboundedPreceding, 0)))
+    cut = summed.where(F.col("sum") > most).agg(F.max("id").alias("__cut"))  # one row
+    both = items.crossJoin(F.broadcast(cut))
+    gone = F.coalesce(F.col("id") <= F.col("__cut"), F.lit(False))
+    return both.where(~gone).drop("__cut"), both.where(gone).select("id", F.lit("mixed").alias("bucket"), F.lit("budget-overflow").alias("reason"))
 
 
 def refusals(items: DataFrame, fitted: DataFrame, cap: int, key: str = "bucket") -> DataFrame:

@@ -312,3 +312,11 @@ def test_overflow_and_tails(spark):
     assert sorted(r.id for r in fit.trim_tail(rows, 85).collect()) == ["a", "c"] and fit.trim_tail(rows, 110).count() == 3
     kept, gone = fit.overflow(rows, 60)
     assert sorted(r.id for r in kept.collect()) == ["b", "c"] and [tuple(r) for r in gone.collect()] == [("a", "mixed", "budget-overflow")]
+
+
+def test_empty_items_at_the_end(spark):
+    rows = spark.createDataFrame([("b", "a", 0), ("b", "z", 0), ("b", "c", 5), ("b", "d", 9), ("e", "x", 0), ("e", "y", 3)], "bucket string, id string, tokens long")
+    keep = lambda most: sorted(r.id for r in fit.trim_tail(rows, most).collect())
+    assert keep(20) == ["a", "c", "d", "x", "y", "z"] and keep(9) == ["d", "x", "y"] and keep(2) == []
+    assert sorted(r.id for r in fit.overflow(rows, 8)[1].collect()) == ["a", "c", "d"]
+    assert fit.overflow(rows, 100)[1].count() == 0 and fit.overflow(rows, 100)[0].count() == 6
