@@ -293,7 +293,7 @@ def _holding(df: DataFrame, text_col: str, table: AnyItem, wanted: bool) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, schema.names[at]):
+            for part in slices(batch, schema.names[at], 1_000_000):
                 yield part.filter(pa.array(sent.value.holds(part.column(at)) == wanted))
 
     return df.mapInArrow(run, schema)
@@ -305,7 +305,7 @@ def _search(slim: DataFrame, block: tuple[list, list], edits: float, min_chars:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, short = ItemIndex(*sent.value), ShortItems(*sent.value[:2], sent.value[3])
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1_000_000):
                 got = index.search(part.column(1)) + short.search(part.column(1))
                 if got:
                     r, item, a, b, d = zip(*got)
@@ -357,7 +357,7 @@ def _without(docs: DataFrame, text_col: str, block: tuple[list, list], edits: fl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, short = ItemIndex(*sent.value), ShortItems(*sent.value[:2], sent.value[3])
         for batch in batches:
-            for part in slices(batch, text_col):
+            for part in slices(batch, text_col, 1_000_000):
                 keep = np.ones(part.num_rows, bool)
                 keep[[m[0] for m in index.search(part.column(at)) + short.search(part.column(at))]] = False
                 yield part.filter(pa.array(keep))
