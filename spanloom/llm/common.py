@@ -50,6 +50,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: cuts the lineage and survives lost executors."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
+    give_back()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
