@@ -7,7 +7,7 @@ different components are compared, so no pair that a band holds is passed over.
 pairs are made. Its nodes are first compared with the most typical one, whose shingles are the most common there, which
 gathers copies with faults around what they are copies of; those still apart meet by the rarest of their shingles, of which
 two sets at 0.8 must share one at places that leave room for their overlap. How rare a shingle is comes from counts in SLOTS
-slots, a table of fixed size; which order they give decides how many pairs are compared, not what is found.
+slots, a table of fixed size that each task sums by itself and sends in PARTS parts; which order they give decides how many pairs are compared, not what is found.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import mix, slices, span_hashes, stored
 from .simhash import SEED, components, keep_least, shingle_hashes, text_hash
 
-WIDTH, THRESHOLD, BANDS, ROWS, CROWD, SLOTS = 5, 0.8, 40, 4, 64, 1 << 21
+WIDTH, THRESHOLD, BANDS, ROWS, CROWD, SLOTS, PARTS = 5, 0.8, 40, 4, 64, 1 << 21, 64
 _FLIP = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _TIMES = mix(_FLIP) | np.uint64(1)
 
@@ -103,14 +103,25 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _counts(sets: DataFrame) -> np.ndarray:
     """How often each of SLOTS slots is hit by the shingles of sets (node, s): no less than a shingle's own count."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            slot, n = np.unique(_slots(_lists(batch.column(0))[0]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(n)], ["slot", "n"])
-
-    out = np.zeros(SLOTS, np.uint32)
-    for r in sets.select("s").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.least(F.sum("n"), F.lit(2**31)).alias("n")).toArrow().to_batches():
-        out[r.column(0).to_numpy()] = r.column(1).to_numpy()
+    def add(batches: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(SLOTS, np.int64)
+        for slot, n in batches:
+            np.add.at(table, slot, n)
+        for part in range(PARTS):
+            slot = np.flatnonzero(table[part * SLOTS // PARTS : (part + 1) * SLOTS // PARTS]) + part * SLOTS // PARTS
+            if len(slot):
+                whole = lambda x, kind: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, kind))
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), whole(slot, pa.int32()), whole(table[slot], pa.int64())], ["part", "slots", "n"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return add(np.unique(_slots(_lists(batch.column(0))[0]), return_counts=True) for batch in batches)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return add((_lists(batch.column(1))[0], _lists(batch.column(2))[0]) for batch in batches)
+
+    kinds, out = "part int, slots array<int>, n array<long>", np.zeros(SLOTS, np.uint32)
+    for r in sets.select("s").mapInArrow(count, kinds).repartition("part").mapInArrow(gather, kinds).toArrow().to_batches():
+        out[_lists(r.column(1))[0]] = np.minimum(_lists(r.column(2))[0], 2**31)
     return out
 
 
