@@ -1,9 +1,11 @@
-"""Near-duplicates by the Jaccard similarity of word shingles, from banded minima with every candidate verified.
-
-A text's distinct shingles get 40 bands of 4 minima, so a pair of texts at 0.8 shares no band with probability
-(1 - 0.8 ** 4) ** 40, under 1e-9. Equal sets meet in one node before anything is replicated. Each node is first compared
-with the least one that it shares a band with; after those links are contracted, the pairs of a band that still lie in
-different components are compared, so no pair that a band holds is passed over. In a band of over CROWD such nodes not all
+"""Near-duplicates by the Jaccard similarity of word shingles, from SimHash links and banded minima with every candidate verified.
+
+Every text gets a SimHash fingerprint of its shingles, and fingerprints at most two bits apart meet by anchor-point covering
+(simhash.links()). Pairs at 0.8 mostly differ in more bits than a covering can reach, so bands find the rest: a text's
+distinct shingles get 40 bands of 4 minima, and a pair of texts at 0.8 shares no band with probability (1 - 0.8 ** 4) ** 40,
+under 1e-9. Equal sets meet in one node before anything is replicated. Each node is first compared with those that its
+fingerprint links it to and with the least one that it shares a band with; after those links are contracted, the pairs of a
+band that still lie in different components are compared, so no pair that a band holds is passed over. In a band of over CROWD such nodes not all
 pairs are made. Its nodes are first compared with the most typical one, whose shingles are the most common there, which
 gathers copies with faults around what they are copies of; those still apart meet by the rarest of their shingles, of which
 two sets at 0.8 must share one at places that leave room for their overlap. How rare a shingle is comes from counts in SLOTS
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix, slices, span_hashes, stored
-from .simhash import SEED, components, keep_least, shingle_hashes, text_hash
+from .simhash import SEED, components, fingerprints_of, keep_least, links, shingle_hashes, text_hash
 
 WIDTH, THRESHOLD, BANDS, ROWS, CROWD, SLOTS, PARTS = 5, 0.8, 40, 4, 64, 1 << 21, 64
 _FLIP = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -29,7 +31,11 @@ _TIMES = mix(_FLIP) | np.uint64(1)
 
 def shingle_sets(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The distinct shingles' hashes of each text in order, their n + 1 offsets, and a hash of each set."""
-    h, counts = shingle_hashes(texts, width, SEED)
+    return _distinct(*shingle_hashes(texts, width, SEED))
+
+
+def _distinct(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """shingle_sets() of texts whose shingle_hashes() are known."""
     doc = np.repeat(np.arange(len(counts)), counts)
     order = np.lexsort((h, doc))
     h, doc = h[order], doc[order]
@@ -53,19 +59,32 @@ def band_keys(h: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, h, node, n, keys) of every row: its text's hash, its set's hash and size, and its bands; an empty set has none."""
+    """(doc_id, h, fp, node, n, keys) of every row: its text's hash and fingerprint, its set's hash and size, and its bands; an empty set has none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1_000_000):
-                h, at, node = shingle_sets(part.column(1))
+                every, counts = shingle_hashes(part.column(1), WIDTH, SEED)
+                fp = fingerprints_of(every, counts)
+                h, at, node = _distinct(every, counts)
                 n = np.diff(at)
                 keys = band_keys(h, at).reshape(-1).view(np.int64) if len(h) else np.empty(0, np.int64)
                 ends = np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(node.view(np.int64)), pa.array(n), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys))], ["doc_id", "h", "node", "n", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(fp.view(np.int64)), pa.array(node.view(np.int64)), pa.array(n), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys))], ["doc_id", "h", "fp", "node", "n", "keys"])
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), text_hash(text_col).alias("h"))
-    return slim.mapInArrow(run, "doc_id long, h string, node long, n long, keys array<long>")
+    return slim.mapInArrow(run, "doc_id long, h string, fp long, node long, n long, keys array<long>")
+
+
+def _linked_by_fingerprint(rows: DataFrame) -> DataFrame:
+    """(u, v, least_u, least_v): nodes of rows (doc_id, fp, node) that one fingerprint has or that links() joins, as stars."""
+    own = stored(rows.where("n > 0").groupBy("fp", "node").agg(F.min("doc_id").alias("least")), "fingerprints")
+    first = stored(own.groupBy("fp").agg(F.min(F.struct("node", "least")).alias("m")), "first-of-fingerprint")
+    of = lambda x: first.select(F.col("fp").alias(x), F.col("m").alias("m" + x))
+    near = links(first.select("fp")).join(of("u").hint("merge"), "u").join(of("v").hint("merge"), "v").select("mu", "mv")
+    same = own.join(first.hint("merge"), "fp").select(F.col("m").alias("mu"), F.struct("node", "least").alias("mv"))
+    both = near.unionByName(same).where("mu.node <> mv.node")
+    return both.select(F.col("mu.node").alias("u"), F.col("mv.node").alias("v"), F.col("mu.least").alias("least_u"), F.col("mv.least").alias("least_v"))
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -192,8 +211,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # of the sizes alone a pair may be too far apart
     fits = lambda x, y: F.least(x, y) >= threshold * F.greatest(x, y)
     best = held.where(F.col("node") != F.col("first.node")).where(fits(F.col("n"), F.col("first.n"))).groupBy(F.col("node").alias("v")).agg(F.min("first").alias("f"))
-    sets = stored(_sets(docs, held.select("node", "least").distinct(), id_col, text_col), "sets")
-    sure = stored(_alike(best.select(F.col("f.node").alias("u"), "v"), sets, threshold), "sure")
+    alike_bits = stored(_linked_by_fingerprint(rows), "linked-fingerprints")
+    ends = [alike_bits.select(F.col(x).alias("node"), F.col("least_" + x).alias("least")) for x in "uv"]
+    needed = held.select("node", "least").unionByName(ends[0]).unionByName(ends[1]).distinct()
+    sets = stored(_sets(docs, needed, id_col, text_col), "sets")
+    sure = stored(_alike(best.select(F.col("f.node").alias("u"), "v").unionByName(alike_bits.select("u", "v")).distinct(), sets, threshold), "sure")
     root = components(sure).withColumnRenamed("root", "c")
     named = stored(held.select("key", "node", "n").join(root, "node", "left").withColumn("c", F.coalesce("c", "node")), "named-bands")
     mixed = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("members")).where("lo <> hi").select("key", F.col("members").alias("crowd"))

@@ -67,7 +67,11 @@ def shingle_hashes(texts: pa.Array, width: int = WIDTH, seed: int = SEED) -> tup
 
 def fingerprint_batch(texts: pa.Array, width: int = WIDTH, seed: int = SEED) -> np.ndarray:
     """uint64 fingerprints of the texts: a bit is set if over half of the shingles' XXH64 have it."""
-    h, shingles = shingle_hashes(texts, width, seed)
+    return fingerprints_of(*shingle_hashes(texts, width, seed))
+
+
+def fingerprints_of(h: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+    """fingerprint_batch() of texts whose shingle_hashes() are known."""
     n, sh0 = len(shingles), np.cumsum(shingles) - shingles
     out = np.zeros(n, np.uint64)
     if not len(h):
