@@ -81,6 +81,10 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
+#: Bytes of text at once where a byte takes some hundred of working memory: a worker's peak counts beside a full heap.
+SLICE = 250_000
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = 2_000_000):
     """Parts of a batch of about `most` bytes of `column` each; a longer text is a part by itself."""
     i = batch.schema.get_field_index(column)
@@ -88,9 +92,13 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 2_000_000):
     if not len(values):
         return
     values = values.fill_null("") if values.null_count else values
-    sizes = np.diff(text_buffers(values)[1])
+    yield from parts(batch, np.diff(text_buffers(values)[1]), most)
+
+
+def parts(batch: pa.RecordBatch, sizes: np.ndarray, most: int):
+    """Parts of a batch whose rows' sizes sum to about `most` each; a larger row is a part by itself."""
     part = np.cumsum(sizes) // most
-    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(values)]
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)]
     for a, b in zip(cuts, cuts[1:]):
         yield batch.slice(a, b - a)
     give_back()

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_buffers, without
+from .common import SLICE, slices, text_buffers, without
 
 DIM, SCALE, PER_LANG = 8192, 40.0, 400
 UNKNOWN = "und"
@@ -230,7 +230,7 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text_col):
+            for part in slices(batch, text_col, SLICE):
                 lang, score = sent.value.predict(part.column(at))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score)], schema.names)
 

@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, slices, span_hashes, stored
+from .common import SLICE, mix, parts, slices, span_hashes, stored
 from .simhash import SEED, components, fingerprints_of, keep_least, links, shingle_hashes, text_hash
 
-WIDTH, THRESHOLD, BANDS, ROWS, CROWD, SLOTS, PARTS = 5, 0.8, 40, 4, 64, 1 << 21, 64
+WIDTH, THRESHOLD, BANDS, ROWS, CROWD, SLOTS, PARTS, SETS_SLICE = 5, 0.8, 40, 4, 64, 1 << 21, 64, 100_000
 _FLIP = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _TIMES = mix(_FLIP) | np.uint64(1)
 
@@ -63,7 +63,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 1_000_000):
+            for part in slices(batch, "text", SLICE):
                 every, counts = shingle_hashes(part.column(1), WIDTH, SEED)
                 fp = fingerprints_of(every, counts)
                 h, at, node = _distinct(every, counts)
@@ -92,7 +92,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 1_000_000):
+            for part in slices(batch, "text", SLICE):
                 h, at, node = shingle_sets(part.column(0))
                 yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)))], ["node", "s"])
 
@@ -119,6 +119,12 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.values.to_numpy(zero_copy_only=False)[at[0] : at[-1]], at - at[0]
 
 
+def _few(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of about SETS_SLICE shingles of a column of lists."""
+    for batch in batches:
+        yield from parts(batch, np.diff(_lists(batch.column(column))[1]), SETS_SLICE)
+
+
 def _counts(sets: DataFrame) -> np.ndarray:
     """How often each of SLOTS slots is hit by the shingles of sets (node, s): no less than a shingle's own count."""
 
@@ -133,7 +139,7 @@ def _counts(sets: DataFrame) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), whole(slot, pa.int32()), whole(table[slot], pa.int64())], ["part", "slots", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return add(np.unique(_slots(_lists(batch.column(0))[0]), return_counts=True) for batch in batches)
+        return add(np.unique(_slots(_lists(batch.column(0))[0]), return_counts=True) for batch in _few(batches, 0))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return add((_lists(batch.column(1))[0], _lists(batch.column(2))[0]) for batch in batches)
@@ -148,7 +154,7 @@ def _typical(sets: DataFrame, counts) -> DataFrame:
     """(node, typical): the mean count of the shingles of each of sets (node, s)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few(batches, 1):
             g, at = _lists(batch.column(1))
             total = np.concatenate([[0.0], np.cumsum(counts.value[_slots(g)], dtype=np.float64)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((total[at[1:]] - total[at[:-1]]) / np.maximum(np.diff(at), 1))], ["node", "typical"])
@@ -163,7 +169,7 @@ def _first_shingles(sets: DataFrame, counts, threshold: float) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few(batches, 3):
             g, at = _lists(batch.column(3))
             row, often = np.repeat(np.arange(len(at) - 1), np.diff(at)), counts.value[_slots(g)]
             order = np.lexsort((g, often, row))

@@ -19,8 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, stored
-from .tokens import SLICE_BYTES, VOCAB, encoder
+from .common import SLICE, slices, stored
+from .tokens import VOCAB, encoder
 
 CAPACITY, END_ID = 1024, 2
 
@@ -76,7 +76,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, seen = encoder(vocab), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for slice_ in slices(batch, "text", SLICE_BYTES):
+            for slice_ in slices(batch, "text", SLICE):
                 ids, at = enc.encode(slice_.column(1).to_pylist(), end_id)
                 n = np.diff(at)
                 k = -(-n // capacity)

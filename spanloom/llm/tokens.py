@@ -29,8 +29,8 @@ _KEPT: dict = {}
 def _classes() -> tuple[np.ndarray, np.ndarray]:
     if "classes" not in _KEPT:
         code = {"L": _LETTER, "N": _NUMBER, "Cn": _UNKNOWN, "Cs": _UNKNOWN}
-        names = [unicodedata.category(chr(i)) for i in range(0x110000)]
-        k = np.array([code.get(c, code.get(c[0], _OTHER)) for c in names], np.uint8)
+        names = (unicodedata.category(chr(i)) for i in range(0x110000))
+        k = np.fromiter((code.get(c, code.get(c[0], _OTHER)) for c in names), np.uint8, 0x110000)
         k[_WHITE] = _SPACE
         _KEPT["classes"] = k, mix(np.arange(1, 0x110001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     return _KEPT["classes"]
